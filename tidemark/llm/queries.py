@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .ngram_join import op4_ngram_jaccard_join
+from .packing import op6_packing
+from .pii import op9_pii
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_packing": op6_packing,
+    "op9_pii": op9_pii,
 }
 
 SQL: dict[str, str] = {}
