@@ -48,8 +48,10 @@ def text_features(text: str | None) -> set[str]:
     return out
 
 
-def fit_nnpu(pos: list[set[str]], unl: list[set[str]], prior: float, most_features: int = 20_000, steps: int = 300, rate: float = 0.05, l2: float = 2e-4) -> tuple[dict[str, float], float]:
-    """(weights, bias) of a logistic classifier under the non-negative PU risk."""
+def fit_nnpu(pos: list[set[str]], unl: list[set[str]], prior: float, most_features: int = 300, steps: int = 300, rate: float = 0.05) -> tuple[dict[str, float], float]:
+    """(weights, bias) of a logistic classifier under the non-negative PU risk. The ridge
+    penalty falls with the number of toxic texts."""
+    l2 = 0.25 / len(pos)
     in_pos, in_unl = Counter(f for x in pos for f in x), Counter(f for x in unl for f in x)
     least = 3 if len(pos) >= 100 else 2
     p, u = len(pos), max(1, len(unl))
