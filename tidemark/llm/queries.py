@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_fingerprints
+from .mixing import op1_mixing
+from .near_vectors import op3_embedding_near_dedup
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op6_packing
 from .pii import op9_pii
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op9_pii": op9_pii,
 }
