@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .chaining import op10_collinear_chaining
 from .fingerprints import op5_fingerprints
 from .mixing import op1_mixing
 from .near_vectors import op3_embedding_near_dedup
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op6_packing
 from .pii import op9_pii
+from .suffix_array import op7_suffix_array_repeats
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -17,7 +19,9 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
+    "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op9_pii": op9_pii,
+    "op10_collinear_chaining": op10_collinear_chaining,
 }
 
 SQL: dict[str, str] = {}
