@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at or _own.setdefault(spark.sparkContext.applicationId, f"/tmp/checkpoints/{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -192,7 +192,7 @@ def patterns_for(counts: np.ndarray, room: int, steps: int = 6000, close: float
         x = inv @ need
         for step in range(steps):
             dual = inv.sum(axis=0)
-            worth = pool @ dual
+            worth = np.einsum("ij,j->i", pool, dual)  # small: threads would only wait for each other
             j = int(worth.argmax())
             if worth[j] > 1 + close:
                 a = pool[j]
@@ -204,7 +204,7 @@ def patterns_for(counts: np.ndarray, room: int, steps: int = 6000, close: float
                     break
                 a = pattern[used].astype(float)
                 pool = np.vstack([pool, a])
-            d = inv @ a
+            d = np.einsum("ij,j->i", inv, a)
             ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
             r = int(ratio.argmin())
             if not np.isfinite(ratio[r]):

@@ -17,11 +17,11 @@ so repeated rows and null ids are kept; a text is scanned whole, whatever its le
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -149,18 +149,34 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_all(docs: DataFrame, redact: bool = False) -> DataFrame:
-    """docs with a column ``spans`` (array of kind, start, end); redact: texts without the data."""
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            spans = [find(t) for t in pdf["text"]]
-            if redact:
-                pdf = pdf.assign(text=[t if t is None or not s else redacted(t, s) for t, s in zip(pdf["text"], spans, strict=True)])
-            yield pdf.assign(spans=[[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "spans")
-    return docs.drop("spans").mapInPandas(run, f"{kinds}, spans array<struct<kind:string,start:long,end:long>>")
+def find_all(docs: DataFrame) -> DataFrame:
+    """docs with a column ``spans``: an array of kind, start and end."""
+
+    def run(batches):
+        for b in batches:
+            spans = [[{"kind": k, "start": x, "end": y} for k, x, y in find(t)] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, type=_SPANS)], [*b.schema.names, "spans"])
+
+    docs = docs.drop("spans")
+    spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("spans", spans)]))
+
+
+def without_pii(docs: DataFrame) -> DataFrame:
+    """docs with each datum replaced by its kind, and n_chars, if there, set anew."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            clean = [t if t is None else redacted(t, find(t)) for t in texts]
+            columns = dict(zip(b.schema.names, b.columns, strict=True)) | {"text": pa.array(clean, type=b.schema.field("text").type)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _listed(spans) -> object:

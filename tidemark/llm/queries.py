@@ -6,6 +6,7 @@ from .chaining import op10_collinear_chaining
 from .fingerprints import op5_fingerprints
 from .mixing import op1_mixing
 from .near_vectors import op3_embedding_near_dedup
+from .ngram_lm import op8_ngram_lm_scores
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op6_packing
 from .pii import op9_pii
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op7_suffix_array_repeats": op7_suffix_array_repeats,
+    "op8_ngram_lm_scores": op8_ngram_lm_scores,
     "op9_pii": op9_pii,
     "op10_collinear_chaining": op10_collinear_chaining,
 }

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,34 +122,56 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int
     return {r["feature"]: r["weight"] / trained for r in rows if r["feature"]}, bias, prior
 
 
+def _scorer(spark, weights: dict[str, float], bias: float):
+    """A function that scores a list of texts, for use in tasks."""
+    names = {f: i for i, f in enumerate(weights)}
+    model = spark.sparkContext.broadcast((names, np.array([*weights.values(), 0.0])))
+    known: dict[str, tuple[int, ...]] = {}
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        ids, w = model.value
+        out = np.zeros(len(texts))
+        for j, text in enumerate(texts):
+            found: set[int] = set()
+            for x in set(_WORD.findall((text or "").lower())):
+                t = known.get(x)
+                if t is None:
+                    t = known[x] = tuple(ids[f] for f in word_features(x) if f in ids)
+                if t:
+                    found.update(t)
+            if found:
+                out[j] = w[sorted(found)].sum()
+            if len(known) > 500_000:
+                known.clear()
+        return 1 / (1 + np.exp(-np.clip(out + bias, -40, 40)))
+
+    return scores
+
+
 def score(docs: DataFrame, weights: dict[str, float], bias: float, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    names = {f: i for i, f in enumerate(weights)}
-    model = docs.sparkSession.sparkContext.broadcast((names, np.array([*weights.values(), 0.0])))
+    scores = _scorer(docs.sparkSession, weights, bias)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, w = model.value
-        known: dict[str, tuple[int, ...]] = {}
         for pdf in frames:
-            out = np.empty(len(pdf))
-            for j, text in enumerate(pdf["text"]):
-                found: set[int] = set()
-                for x in set(_WORD.findall((text or "").lower())):
-                    t = known.get(x)
-                    if t is None:
-                        t = known[x] = tuple(ids[f] for f in word_features(x) if f in ids)
-                    if t:
-                        found.update(t)
-                out[j] = w[list(found)].sum() if found else 0.0
-                if len(known) > 500_000:
-                    known = {}
-            yield pdf[["doc_id", "held_out"]].assign(score=1 / (1 + np.exp(-np.clip(out + bias, -40, 40))))
+            yield pdf[["doc_id", "held_out"]].assign(score=scores(pdf["text"].tolist()))
 
     held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
     got = docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
     return got.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 
 
+def without_toxic(docs: DataFrame, weights: dict[str, float], bias: float, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is less than ``limit``, with all their columns."""
+    scores = _scorer(docs.sparkSession, weights, bias)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column("text").to_pylist()) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights, bias, _ = train(docs, table(spark, sf_dir, "labels"))
