@@ -3,8 +3,8 @@
 Vectors with equal components and label are one node. The nodes of a label are dealt to shards
 of bounded size; each shard gets a graph, built in numpy by batches, layer by layer. Every
 shard is queried with all nodes of its label, in blocks: a beam goes down the layers and then
-over the lowest one. A beam that holds nothing but links is widened (doubled) for its query; a
-sample of each block is compared with all vectors of the shard, and while less than ``recall``
+over the lowest one. A beam that holds nothing but links is widened for its query, and beyond
+that shared with the queries around it; a sample of each block is compared with all vectors of the shard, and while less than ``recall``
 of the sample's links were found, all beams are widened. Candidates are verified by cosine in
 double precision; links within a block and shard are reduced to one edge a node before the
 components are united.
@@ -102,15 +102,23 @@ class Graph:
         src, dst = src[keep], dst[keep]
         o = np.argsort(dst, kind="stable")
         src, dst = src[o], dst[o]
+        crowded, wide = [], []
         for t, a, b in zip(*_runs(dst), strict=True):
-            old = nb[t][nb[t] >= 0]
-            both = np.union1d(old, src[a:b])
+            both = np.union1d(nb[t][nb[t] >= 0], src[a:b])
             if len(both) <= width:
                 nb[t, : len(both)] = both
-                continue
-            sim = self.rank_vec[both] @ self.rank_vec[t]
-            s = np.argsort(-sim)
-            nb[t] = _diverse(sim[s][None], both[s][None], self.rank_vec, width)[0]
+            else:
+                crowded.append(t)
+                wide.append(both)
+        for a in range(0, len(crowded), 512):
+            rows, lists = np.array(crowded[a : a + 512]), wide[a : a + 512]
+            ids = np.full((len(rows), max(map(len, lists))), NONE, dtype=np.int64)
+            for i, x in enumerate(lists):
+                ids[i, : len(x)] = x
+            sim = np.einsum("bd,bkd->bk", self.rank_vec[rows], self.rank_vec[np.maximum(ids, 0)])
+            sim[ids < 0] = -3
+            o = np.argsort(-sim, axis=1, kind="stable")[:, : 4 * width]
+            nb[rows] = _diverse(np.take_along_axis(sim, o, axis=1), np.take_along_axis(ids, o, axis=1), self.rank_vec, width)
 
     def _descend(self, q: np.ndarray, down_to: int) -> np.ndarray:
         at = np.zeros((len(q), 1), dtype=np.int64)
@@ -182,8 +190,56 @@ def _runs(a: np.ndarray) -> tuple[list, list, list]:
     return a[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(a)]
 
 
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least entry of 0..n-1 that each reaches along the pairs."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _shared_beam(graph: Graph, base: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[list, list]:
+    """Links of queries that lie in dense groups. Queries that found a node in common (pairs x, y)
+    have one beam: the nodes that any of them found. It is widened by the nodes that are joined to it in
+    the graph as long as those bring links."""
+    near = graph.layers[0]
+    edge_to = np.where(near >= 0, graph.order[np.maximum(near, 0)], NONE)
+    inverse = np.empty(len(graph.order), dtype=np.int64)
+    inverse[graph.order] = np.arange(len(graph.order))
+    label = _labels(x, y + len(q), len(q) + len(base))
+    out_q, out_n = [], []
+    for c in np.unique(label[x]):
+        mine = np.flatnonzero(label[x] == c)
+        rows = np.unique(x[mine])
+        inside = np.zeros(len(base), dtype=bool)
+        fresh = np.unique(y[mine])
+        tried = np.zeros(len(base), dtype=bool)
+        while len(fresh):
+            tried[fresh] = True
+            for a in range(0, len(rows), 1024):
+                r = rows[a : a + 1024]
+                i, j = np.nonzero(q[r] @ base[fresh].T >= threshold)
+                out_q.append(r[i])
+                out_n.append(fresh[j])
+                inside[fresh[j]] = True
+            beside = edge_to[inverse[np.flatnonzero(inside)]].ravel()
+            cand = np.zeros(len(base), dtype=bool)
+            cand[beside[beside >= 0]] = True
+            cand[graph.order[((edge_to >= 0) & inside[np.maximum(edge_to, 0)]).any(axis=1)]] = True
+            fresh = np.flatnonzero(cand & ~tried)
+    return out_q, out_n
+
+
 def links_of(graph: Graph, base: np.ndarray, q: np.ndarray, threshold: float, recall: float, ef: int = 48, sample: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all verified links. base, q: unit vectors in double precision."""
+    """(query, node) of all verified links. base, q: unit vectors in double precision.
+
+    A beam that holds nothing but links is widened four times; what is still full then shares
+    a beam with the queries around it."""
     n = len(base)
     low = threshold - 1e-4
     rng = np.random.default_rng(5)
@@ -191,22 +247,28 @@ def links_of(graph: Graph, base: np.ndarray, q: np.ndarray, threshold: float, re
     truth = q[probe] @ base.T >= threshold
     while True:
         found_q, found_n = [], []
-        waiting, width = np.arange(len(q)), min(ef, n)
-        while len(waiting):
-            again = []
+        waiting = np.arange(len(q))
+        for width in (min(ef, n), min(4 * ef, n)):
+            again, full_q, full_n = [], [], []
             for a in range(0, len(waiting), size := max(16, min(1024, (1 << 22) // max(n, 64 * width)))):
                 rows = waiting[a : a + size]
                 ids, sim = graph.search(q[rows], width)
                 full = (sim[:, -1] >= low) & (ids[:, -1] >= 0) & (width < n)
                 again.append(rows[full])
-                hit = (sim >= low) & (ids >= 0) & ~full[:, None]
-                x, y = np.nonzero(hit)
-                found_q.append(rows[x])
-                found_n.append(ids[x, y])
-            waiting, width = np.concatenate(again), min(2 * width, n)
+                hit = (sim >= low) & (ids >= 0)
+                for part, to_q, to_n in ((hit & ~full[:, None], found_q, found_n), (hit & full[:, None], full_q, full_n)):
+                    x, y = np.nonzero(part)
+                    to_q.append(rows[x])
+                    to_n.append(ids[x, y])
+            waiting = np.concatenate(again)
+            if not len(waiting):
+                break
         fq, fn = np.concatenate(found_q), np.concatenate(found_n)
         ok = np.concatenate([np.einsum("ij,ij->i", q[fq[a : a + 65536]], base[fn[a : a + 65536]]) >= threshold for a in range(0, len(fq), 65536)] or [np.zeros(0, bool)])
         fq, fn = fq[ok], fn[ok]
+        if len(waiting):
+            dense_q, dense_n = _shared_beam(graph, base, q, np.concatenate(full_q), np.concatenate(full_n), threshold)
+            fq, fn = np.concatenate([fq, *dense_q]), np.concatenate([fn, *dense_n])
         got = np.zeros_like(truth)
         place = np.full(len(q), NONE)
         place[probe] = np.arange(len(probe))
@@ -287,15 +349,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, shard: int = 8192, re
             node = np.concatenate([nq, nb])
             weight = np.concatenate([wq, wb])
             w = np.bincount(a, weight[c], len(node)) + np.bincount(c, weight[a], len(node))
-        label = np.arange(len(node))
-        while True:
-            low = label.copy()
-            np.minimum.at(low, a, label[c])
-            np.minimum.at(low, c, label[a])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
+        label = _labels(a, c, len(node))
         some = w > 0
         return pd.DataFrame({"node": node[some], "links": w[some].astype(np.int64), "to_node": node[label[some]]})
 
