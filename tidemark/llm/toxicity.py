@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,20 +48,30 @@ def text_features(text: str | None) -> set[str]:
     return out
 
 
-def fit_nnpu(pos: list[set[str]], unl: list[set[str]], prior: float, most_features: int = 300, steps: int = 300, rate: float = 0.05) -> tuple[dict[str, float], float]:
-    """(weights, bias) of a logistic classifier under the non-negative PU risk. The ridge
-    penalty falls with the number of toxic texts."""
+def feature_numbers(texts: Iterable[str | None], names: dict[str, int]) -> list[np.ndarray]:
+    """Features of each text as numbers; new ones are added to ``names``."""
+    return [np.fromiter((names.setdefault(f, len(names)) for f in text_features(t)), dtype=np.int32) for t in texts]
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], names: dict[str, int], prior: float, most_features: int = 300, steps: int = 300, rate: float = 0.05) -> tuple[dict[str, float], float]:
+    """(weights, bias) of a logistic classifier under the non-negative PU risk, from numbered
+    features. The ridge penalty falls with the number of toxic texts."""
     l2 = 0.25 / len(pos)
-    in_pos, in_unl = Counter(f for x in pos for f in x), Counter(f for x in unl for f in x)
-    least = 3 if len(pos) >= 100 else 2
     p, u = len(pos), max(1, len(unl))
-    gain = {f: abs(math.log((n + 0.5) / (p + 1)) - math.log((in_unl[f] + 0.5) / (u + 1))) * math.sqrt(n) for f, n in in_pos.items() if n >= least}
-    vocab = {f: i for i, f in enumerate(sorted(gain, key=lambda f: (-gain[f], f))[:most_features])}
-    n = len(vocab)
-
-    def rows(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        got = [[vocab[f] for f in x if f in vocab] for x in sets]
-        return np.repeat(np.arange(len(sets)), [len(x) for x in got]), np.fromiter((i for x in got for i in x), dtype=np.int64)
+    some = lambda x: np.concatenate(x) if len(x) else np.zeros(0, dtype=np.int32)
+    in_pos, in_unl = np.bincount(some(pos), minlength=len(names)), np.bincount(some(unl), minlength=len(names))
+    gain = np.abs(np.log((in_pos + 0.5) / (p + 1)) - np.log((in_unl + 0.5) / (u + 1))) * np.sqrt(in_pos)
+    gain[in_pos < (3 if p >= 100 else 2)] = -1
+    listed = list(names)
+    best = sorted(np.flatnonzero(gain > 0).tolist(), key=lambda i: (-gain[i], listed[i]))[:most_features]
+    n = len(best)
+    place = np.full(len(names), -1)
+    place[best] = np.arange(n)
+
+    def rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        column = place[some(sets)]
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        return row[column >= 0], column[column >= 0]
 
     pr, pc = rows(pos)
     ur, uc = rows(unl)
@@ -85,7 +94,7 @@ def fit_nnpu(pos: list[set[str]], unl: list[set[str]], prior: float, most_featur
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return {f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 1e-2}, float(b)
+    return {listed[f]: float(w[i]) for i, f in enumerate(best) if abs(w[i]) > 1e-2}, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = 16_000, most_unlabelled: int = 48_000, seed: int = 17) -> tuple[dict[str, float], float, float]:
@@ -95,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int
     if not k:
         return {}, math.log(0.01 / 0.99), 0.01
     prior = min(0.95, max(1e-3, k / n))
-    bags = max(1, min(8, min(k, most_positive) // 2000))
+    bags = max(1, min(16, min(k, most_positive) // 1000))
     h = F.xxhash64("doc_id", F.lit(seed))
     ids = docs.select("doc_id").where("doc_id is not null").where(fold(F.col("doc_id"), folds) != 0)
     pos = lab.where("toxic = 1").select("doc_id").distinct().orderBy(h).limit(most_positive).withColumn("positive", F.lit(True))
@@ -104,12 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int
     chosen = F.broadcast(pos.union(unl))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [text_features(t) for t in pdf["text"]]
-        is_pos = pdf["positive"].to_numpy()
-        p, u = [s for s, x in zip(sets, is_pos, strict=True) if x], [s for s, x in zip(sets, is_pos, strict=True) if not x]
+        names: dict[str, int] = {}
+        is_pos = pdf["positive"].to_numpy(dtype=bool)
+        p, u = (feature_numbers(pdf["text"][x], names) for x in (is_pos, ~is_pos))
         if not p:
-            return pd.DataFrame({"feature": [], "weight": []})
-        w, b = fit_nnpu(p, u, prior)
+            return pd.DataFrame({"feature": pd.Series([], dtype=str), "weight": pd.Series([], dtype=float)})
+        w, b = fit_nnpu(p, u, names, prior)
         return pd.DataFrame({"feature": [*w, ""], "weight": [*w.values(), b]})
 
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("bag", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(bags)))
