@@ -40,7 +40,7 @@ from .elias_fano import Sequence, decode, encode
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 SLICES = 64
 ORDERS = (1, 2, 3)
-WORD_BITS, KEY_BITS = 20, 48
+WORD_BITS, KEY_BITS = 20, 44
 EXACT = 191
 
 
@@ -172,15 +172,23 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "held": [pdf["held_out"].iloc[a:b].to_numpy(dtype=bool).tobytes()],
                     "off": [t.off.astype(np.int64).tobytes()],
                     "words": [word.tobytes()],
-                    "tokens": [local.astype(np.uint32).tobytes()],
+                    "tokens": [zlib.compress(local.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(len(word))].tobytes(), 1)],
                 }
             )
             i += 1
 
 
+def _width(n: int) -> int:
+    """Bytes that numbers below n take."""
+    return max(1, -(-int(n).bit_length() // 8))
+
+
 def _opened(row) -> tuple[Tokens, np.ndarray]:
-    words, local = np.frombuffer(row["words"], dtype=U64), np.frombuffer(row["tokens"], dtype=np.uint32)
-    return Tokens(words[local], np.frombuffer(row["off"], dtype=np.int64)), np.frombuffer(row["held"], dtype=bool)
+    words = np.frombuffer(row["words"], dtype=U64)
+    narrow = np.frombuffer(zlib.decompress(row["tokens"]), dtype=np.uint8).reshape(-1, _width(len(words)))
+    local = np.zeros((len(narrow), 4), dtype=np.uint8)
+    local[:, : narrow.shape[1]] = narrow
+    return Tokens(words[local.view("<u4").ravel()], np.frombuffer(row["off"], dtype=np.int64)), np.frombuffer(row["held"], dtype=bool)
 
 
 def score_all(docs: DataFrame, folds: int = 10, m2: float = 10_000.0, m3: float = 10.0) -> DataFrame:
