@@ -217,7 +217,7 @@ def similar_texts(
     bucket_limit: sets that a bucket may hold to be compared without a further split.
     dense: a bucket whose sets are as similar as this on average is compared at once, in
     blocks of ``block`` sets, since no split would part them."""
-    runs = runs_for(recall, threshold, 2)
+    runs = runs_for(recall, threshold, 3)
     paths = [_first_places(r, threshold, seed) for r in range(runs)]
     rows = docs.select("doc_id", "text")
     sketched = written(
@@ -232,12 +232,14 @@ def similar_texts(
     )
     first = reps.select("node", F.explode("paths").alias("bucket"))
 
-    def counted(r: DataFrame) -> DataFrame:
-        """Rows of buckets with more than one set, with the bucket's count. Buckets with the
-        same sets are one: only the least is kept."""
+    def counted(r: DataFrame, merge: bool = False) -> DataFrame:
+        """Rows of buckets with more than one set, with the bucket's count. merge: of buckets
+        with the same sets only the least is kept; those still to be split stay apart, since
+        each run has its own chance to keep a pair together."""
+        if not merge:
+            return r.join(r.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
         c = r.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).where("n > 1")
-        c = c.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-        return r.join(c, "bucket")
+        return r.join(c.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "bucket")
 
     open_ = written(counted(first), "buckets")
     leaves = [open_.where(F.col("n") <= bucket_limit).select("node", "bucket")]
@@ -268,7 +270,7 @@ def similar_texts(
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.union(x)
-    leaf = written(counted(leaf.distinct()), "leaves")
+    leaf = written(counted(leaf.distinct(), merge=True), "leaves")
 
     n_blocks = F.ceil(F.col("n") / block).cast("int")
     placed = leaf.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("nb")).cast("int"))
