@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from . import event_queries, more_queries, panel_queries  # noqa: F401
+from . import event_queries, more_queries, panel_queries, stream_queries  # noqa: F401
