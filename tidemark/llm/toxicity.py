@@ -8,7 +8,7 @@ negatives. The prior is the share of toxic rows among the labelled rows that may
 from. Rows are dealt to several classifiers, trained side by side; their logits are averaged.
 
 Bounds: a model is fitted on at most ``most_positive`` toxic and ``most_unlabelled`` unlabelled
-texts (those with the least hash of doc_id), never on held-out rows, and keeps at most
+texts, six for each toxic one (those with the least hash of doc_id), never on held-out rows, and keeps at most
 ``most_features`` features. Every row of the input is scored, over its whole text.
 
 Rules for odd input: null and empty texts get the score of a text without words; labels that
@@ -104,7 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int
     if not k:
         return {}, math.log(0.01 / 0.99), 0.01
     prior = min(0.95, max(1e-3, k / n))
-    bags = max(1, min(16, min(k, most_positive) // 1000))
+    # so many unlabelled texts that the estimate of their risk is no coarser than that of the toxic ones
+    most_unlabelled = min(most_unlabelled, max(2000, 6 * k))
+    bags = max(1, min(16, (min(k, most_positive) + most_unlabelled) // 5000))
     h = F.xxhash64("doc_id", F.lit(seed))
     ids = docs.select("doc_id").where("doc_id is not null").where(fold(F.col("doc_id"), folds) != 0)
     pos = lab.where("toxic = 1").select("doc_id").distinct().orderBy(h).limit(most_positive).withColumn("positive", F.lit(True))
