@@ -59,7 +59,7 @@ def test_features_match_pandas(bars):
 
 def test_features_do_not_see_the_future(bars):
     cut = D0 + datetime.timedelta(60)
-    changed = bars.withColumn("close", F.when(F.col("date") > F.lit(cut), F.col("close") * 3).otherwise(F.col("close"))).withColumn("high", F.col("high") * 4)
+    changed = bars.withColumn("close", F.when(F.col("date") > F.lit(cut), F.col("close") * 3).otherwise(F.col("close"))).withColumn("high", F.when(F.col("date") > F.lit(cut), F.col("high") * 4).otherwise(F.col("high")))
     low = ["return_5d", "ma20_gap", "volatility_10d", "drawdown_20d"]
     a, b = (frame(panel.price_features(panel.densify(x)).where(F.col("date") <= F.lit(cut)).select("ticker", "date", *low)) for x in (bars, changed))
     pd.testing.assert_frame_equal(a, b)
