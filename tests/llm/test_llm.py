@@ -315,6 +315,18 @@ def test_op10_fuzzy_passages(spark, docs, texts, none):
     assert chaining.fuzzy_passages(none).count() == 0
 
 
+def test_op10_every_pair_of_fuzzy_copies_meets(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(20000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = fresh(60)
+    edited = [fresh(15) + [rng.choice(words) if rng.random() < 0.1 else w for w in passage] + fresh(15) for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(edited)] + [(100, " ".join(edited[7])), (101, " ".join(edited[7]))]
+    got = {(r["a_doc"], r["b_doc"]) for r in chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(7, 100), (7, 101)} <= got  # equal documents are paired with their least one
+    assert sum(a < 40 and b < 40 for a, b in got) >= 0.9 * 40 * 39 / 2
+
+
 def test_op10_chains_equal_brute_force():
     rng = random.Random(3)
     for _ in range(40):

@@ -132,6 +132,20 @@ def neighbours(seeds: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def matches(seeds: DataFrame, block: int = 1024) -> DataFrame:
+    """(a, a_at, b, b_at), a < b: every two seeds of one key and two documents.
+
+    The seeds of a key are dealt into blocks of about ``block``, and two blocks meet in one
+    group of the join, so that a frequent key is spread over many tasks."""
+    shared = seeds.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    nb = F.ceil(F.col("n") / block).cast("int")
+    dealt = seeds.join(shared.select("key", nb.alias("nb")), "key").withColumn("block", F.pmod(F.xxhash64("doc", "place"), F.col("nb")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    left = dealt.select("key", F.col("block").alias("i"), every.alias("j"), F.col("doc").alias("a"), F.col("place").alias("a_at"))
+    right = dealt.select("key", every.alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("place").alias("b_at"))
+    return left.join(right, ["key", "i", "j"]).where("a < b").select("a", "a_at", "b", "b_at")
+
+
 def docs_like(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a long, a_at int, b long, b_at int")
 
