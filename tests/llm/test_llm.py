@@ -241,6 +241,51 @@ def test_op7_repeats(spark, docs, texts, none):
     assert suffix_array.repeats(none).count() == 0
 
 
+def test_op7_a_repeat_around_a_frequent_line(spark):
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(20000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    line, left, right = fresh(45), fresh(10), fresh(10)
+    texts = [[*fresh(80), *line, *fresh(80)] for _ in range(300)]
+    for i in range(0, 60, 2):  # pairs share ten words before the line, or ten after it
+        left, right = fresh(10), fresh(10)
+        for t in texts[i : i + 2]:
+            t[70:80] = left if i % 4 else t[70:80]
+            t[125:135] = t[125:135] if i % 4 else right
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["end"], r["other_doc"]) for r in suffix_array.repeats(d).collect()}
+    assert got == {(i, 70 if i // 2 % 2 else 80, 125 if i // 2 % 2 else 135, i ^ 1) for i in range(60)}
+
+
+def test_op7_spans_equal_brute_force(spark):
+    rng = random.Random(22)
+    pool = [[f"v{rng.randint(0, 3000)}" for _ in range(rng.randint(20, 120))] for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        t = []
+        for p in rng.sample(pool, 3):
+            a = rng.randint(0, len(p) // 3)
+            t += p[a:] + [f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 3))]
+        texts.append(t)
+    owners = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            owners.setdefault(tuple(t[i : i + 50]), set()).add(d)
+    want = set()
+    for d, t in enumerate(texts):
+        spans = []
+        for i in range(len(t) - 49):
+            others = owners[tuple(t[i : i + 50])] - {d}
+            if others:
+                if spans and i <= spans[-1][1]:
+                    spans[-1] = [spans[-1][0], i + 50, min(spans[-1][2], *others)]
+                else:
+                    spans.append([i, i + 50, min(others)])
+        want |= {(d, *s) for s in spans}
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len(want) > 40 and {(r["doc_id"], r["start"], r["end"], r["other_doc"]) for r in suffix_array.repeats(rows).collect()} == want
+
+
 def test_op8_scores(spark, docs, texts, none):
     ids = [(r["doc_id"], r["text"]) for r in docs.collect()]
     low = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x or "")

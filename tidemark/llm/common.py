@@ -68,7 +68,7 @@ _powers = np.ones(1, dtype=U64)
 _inverse = np.ones(1, dtype=U64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
         size = max(n, 1 << 20)
@@ -108,7 +108,7 @@ def words_of(texts: list[str | None], lut: np.ndarray = WORD_LUT, lower: str = "
     step = np.diff(ok, prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     out = np.empty(len(start), dtype=U64)
-    p, q = _power_tables(min(len(data), _CHUNK) + 1)
+    p, q = power_tables(min(len(data), _CHUNK) + 1)
     # chunks that begin and end between words; a single longer word gets a chunk of its own
     i = 0
     while i < len(start):
@@ -117,7 +117,7 @@ def words_of(texts: list[str | None], lut: np.ndarray = WORD_LUT, lower: str = "
         lo, hi = start[i], end[j - 1]
         n = int(hi - lo)
         if n + 1 > len(p):
-            p, q = _power_tables(n + 1)
+            p, q = power_tables(n + 1)
         cum = np.zeros(n + 1, dtype=U64)
         np.cumsum((data[lo:hi].astype(U64) + U64(1)) * p[:n], out=cum[1:])
         s, e = start[i:j] - lo, end[i:j] - lo

@@ -1,4 +1,4 @@
-"""Minimiser seeds of texts and the neighbours of each seed in sorted order."""
+"""Minimiser seeds of texts and what shares them."""
 
 from __future__ import annotations
 
@@ -6,14 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, rolling, text_chunks, words_of, written
+from .common import U64, mix64, power_tables, rolling, text_chunks, words_of, written
 
 
-def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
+def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     """op over every w consecutive entries, by doubling."""
     size = 1
     while size * 2 <= w:
@@ -33,20 +32,21 @@ def minimisers(w: np.ndarray, off: np.ndarray, k: int, window: int) -> tuple[np.
     n = len(r)
     if n < window:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
-    low = _sliding(r, window, np.minimum)
+    low = sliding(r, window, np.minimum)
     at = np.arange(len(low))
     # a window lies in one text when its last word does
     last = np.searchsorted(off, at, "right")
     inside = at + window + k - 1 <= off[np.minimum(last, len(off) - 1)]
     low = np.where(inside, low, U64(0))
     pad = np.zeros(window - 1, dtype=U64)
-    high = _sliding(np.concatenate([pad, low, pad]), window, np.maximum)
+    high = sliding(np.concatenate([pad, low, pad]), window, np.maximum)
     keep = np.flatnonzero((high == r) & (high > 0))
     return keep, r[keep]
 
 
-def seeds_of(docs: DataFrame, k: int, window: int, ahead: int = 0) -> DataFrame:
-    """doc, place (word index), key and, for ahead > 0, next: the hash of so many words after the k-gram."""
+def seeds_of(docs: DataFrame, k: int, window: int, around: int = 0) -> DataFrame:
+    """doc, place (word index), key and, for around > 0, start and end of the stretch with up to so many
+    words on both sides of the k-gram, and context: a hash of its words and of the place in it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -57,79 +57,29 @@ def seeds_of(docs: DataFrame, k: int, window: int, ahead: int = 0) -> DataFrame:
                 if not len(place):
                     continue
                 owner = np.searchsorted(words.off, place, "right") - 1
-                out = {"key": key.view(np.int64), "doc": ids[a:b][owner], "place": (place - words.off[owner]).astype(np.int32)}
-                if ahead:
-                    r = rolling(words.hash, ahead)
-                    to = place + k
-                    full = to + ahead <= words.off[owner + 1]
-                    out["next"] = np.where(full, r[np.minimum(to, max(len(r) - 1, 0))] if len(r) else 0, 0).astype(U64).view(np.int64)
+                first = words.off[owner]
+                out = {"key": key.view(np.int64), "doc": ids[a:b][owner], "place": (place - first).astype(np.int32)}
+                if around:
+                    power, inverse = power_tables(len(words.hash) + 1)
+                    cum = np.append(U64(0), np.cumsum(words.hash * power[: len(words.hash)], dtype=U64))
+                    start, end = np.maximum(place - around, first), np.minimum(place + k + around, words.off[owner + 1])
+                    lengths = ((place - start) << 32 | (end - place)).astype(U64)
+                    out["start"], out["end"] = (start - first).astype(np.int32), (end - first).astype(np.int32)
+                    out["context"] = mix64((cum[end] - cum[start]) * inverse[start] ^ mix64(lengths)).view(np.int64)
                 yield pd.DataFrame(out)
 
-    more = ", next long" if ahead else ""
+    more = ", start int, end int, context long" if around else ""
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, f"key long, doc long, place int{more}")
 
 
-_PAIR = "kind int, part int, key long, a long, a_at int, b long, b_at int"
-
-
-def neighbours(seeds: DataFrame) -> DataFrame:
-    """(a, a_at, b, b_at): each seed in sorted order with the nearest before it that has its
-    key and another document; seeds before the first such change get the one after.
-
-    The sort is a range partitioning over key, context, document and place, so that a frequent
-    key is spread over many tasks; groups that two tasks share are linked by their end rows,
-    two for each task."""
-    order = [c for c in ("key", "next", "doc", "place") if c in seeds.columns]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        key, doc, other, waiting, last = None, None, None, [], None
-        begun = False
-        for pdf in frames:
-            keys, docs, places = pdf["key"].to_numpy(), pdf["doc"].to_numpy(), pdf["place"].to_numpy()
-            n = len(keys)
-            if not n:
-                continue
-            out = []
-            if not begun:
-                out.append((1, part, keys[0], docs[0], places[0], 0, 0))
-                begun = True
-            same = keys[1:] == keys[:-1]
-            near = np.zeros(n, dtype=bool)
-            near[1:] |= same
-            near[:-1] |= same
-            near[0] = near[-1] = True
-            at = np.flatnonzero(near)
-            for x, d, p in zip(keys[at].tolist(), docs[at].tolist(), places[at].tolist(), strict=True):
-                if x != key:
-                    key, doc, other, waiting = x, d, None, []
-                elif d != doc:
-                    for q in waiting:
-                        out.append((0, part, x, doc, q, d, p))
-                    other, doc, waiting = last, d, []
-                if other is None:
-                    waiting.append(p)
-                else:
-                    out.append((0, part, x, d, p, *other))
-                last = (d, p)
-            if out:
-                yield pd.DataFrame(out, columns=["kind", "part", "key", "a", "a_at", "b", "b_at"])
-        if begun:
-            yield pd.DataFrame([(2, part, key, last[0], last[1], 0, 0)], columns=["kind", "part", "key", "a", "a_at", "b", "b_at"])
-
-    got = written(seeds.orderBy(*order).mapInPandas(run, _PAIR), "neighbours")
-    ends = sorted((r["part"], r["kind"], r["key"], r["a"], r["a_at"]) for r in got.where("kind > 0").collect())  # two rows a task
-    extra = [(x[3], x[4], y[3], y[4]) for x, y in zip(ends, ends[1:], strict=False) if x[1] == 2 and y[1] == 1 and x[2] == y[2] and x[3] != y[3]]
-    pairs = got.where("kind = 0").select("a", "a_at", "b", "b_at")
-    if extra:
-        pairs = pairs.union(docs_like(seeds, extra))
-    first = F.col("a") < F.col("b")
-    return pairs.select(
-        F.least("a", "b").alias("a"),
-        F.when(first, F.col("a_at")).otherwise(F.col("b_at")).alias("a_at"),
-        F.greatest("a", "b").alias("b"),
-        F.when(first, F.col("b_at")).otherwise(F.col("a_at")).alias("b_at"),
-    ).distinct()
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows whose key has another document, with other: the least such one. No key's rows
+    are gathered: the two least documents of a key are grouped minima."""
+    two = written(rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"), "shared")
+    got = written(rows.join(two, "key"), "rows")
+    second = got.where("doc > low").groupBy("key").agg(F.min("doc").alias("second"))
+    least = got.where("doc = low").join(second, "key").withColumn("other", F.col("second")).drop("low", "second")
+    return least.unionByName(got.where("doc > low").withColumnRenamed("low", "other"))
 
 
 def matches(seeds: DataFrame, block: int = 1024) -> DataFrame:
@@ -137,19 +87,15 @@ def matches(seeds: DataFrame, block: int = 1024) -> DataFrame:
 
     The seeds of a key are dealt into blocks of about ``block``, and two blocks meet in one
     group of the join, so that a frequent key is spread over many tasks."""
-    shared = seeds.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    often = seeds.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     nb = F.ceil(F.col("n") / block).cast("int")
-    dealt = seeds.join(shared.select("key", nb.alias("nb")), "key").withColumn("block", F.pmod(F.xxhash64("doc", "place"), F.col("nb")).cast("int"))
+    dealt = seeds.join(often.select("key", nb.alias("nb")), "key").withColumn("block", F.pmod(F.xxhash64("doc", "place"), F.col("nb")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     left = dealt.select("key", F.col("block").alias("i"), every.alias("j"), F.col("doc").alias("a"), F.col("place").alias("a_at"))
     right = dealt.select("key", every.alias("i"), F.col("block").alias("j"), F.col("doc").alias("b"), F.col("place").alias("b_at"))
     return left.join(right, ["key", "i", "j"]).where("a < b").select("a", "a_at", "b", "b_at")
 
 
-def docs_like(df: DataFrame, rows: list[tuple]) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, "a long, a_at int, b long, b_at int")
-
-
 def stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Word hashes (32 bits) of stretches: wanted has doc, id, side, from, to (word indices, cut to
     the text). Returns id, side, from, words (binary)."""

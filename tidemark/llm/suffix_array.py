@@ -1,10 +1,10 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
 Suffixes are kept at minimiser places only: two texts that share ``least`` words in a row share
-a kept place. The suffixes are sorted by their first words and those that follow, and each is
-compared with its neighbours of other documents. Matches of two documents at one offset whose
-places overlap form a run, which is extended word by word to the left and the right. Runs of
-at least ``least`` words are repeats; overlapping repeats of a document are one span.
+a kept place in them. A kept place is grouped by its first words. Where all of a group have the same words
+around, as far as ``least`` words with the first words in them can reach, all of these repeat. In other groups
+each stretch of ``least`` words around the place is looked up by the hash of all its words. So every repeated
+stretch is found, whatever number of documents share a part of it; overlapping ones of a document are one span.
 
 Rules for odd input: rows without doc_id or text have no spans; rows with one doc_id are one
 document; repeats within one document do not count; words are runs of letters and digits in
@@ -20,8 +20,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .seeds import neighbours, seeds_of, stretches
+from .common import U64, rolling, table, text_chunks, words_of, written
+from .seeds import seeds_of, shared, sliding
+
+
+def windows_at(docs: DataFrame, places: DataFrame, least: int, k: int) -> DataFrame:
+    """key, doc and place of every ``least`` words in a row whose minimiser is at one of the places (doc, place)."""
+    asks = places.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    top = np.iinfo(U64).max
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            texts = pdf["text"].tolist()
+            for a, b in text_chunks(texts, texts):
+                words = words_of(texts[a:b])
+                if len(words.hash) < least:
+                    continue
+                r = rolling(words.hash, k)
+                at = [words.off[i] + np.asarray(x, dtype=np.int64) for i, x in enumerate(pdf["places"].iloc[a:b])]
+                at = np.concatenate(at)
+                at = at[at < len(r)]
+                asked = np.full(len(r), top, dtype=U64)
+                asked[at] = r[at]
+                wide = least - k + 1
+                s = np.flatnonzero(sliding(asked, wide, np.minimum) == sliding(r, wide, np.minimum))
+                owner = np.searchsorted(words.off, s, "right") - 1
+                inside = s + least <= words.off[owner + 1]
+                s, owner = s[inside], owner[inside]
+                key = rolling(words.hash, least)[s]
+                yield pd.DataFrame({"key": key.view(np.int64), "doc": pdf["doc"].to_numpy()[a:b][owner], "place": (s - words.off[owner]).astype(np.int32)})
+
+    rows = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null").join(asks, "doc")
+    return rows.mapInPandas(run, "key long, doc long, place int")
 
 
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -29,50 +59,14 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     of each span of a document that other documents repeat."""
     window = least // 2
     k = least - window + 1
-    seeds = written(seeds_of(docs, k, window, ahead=window - 1), "suffixes")
-    pairs = neighbours(seeds).withColumn("shift", F.col("a_at") - F.col("b_at"))
-    w = Window.partitionBy("a", "b", "shift").orderBy("a_at")
-    new = F.coalesce(F.col("a_at") - F.lag("a_at").over(w) > k, F.lit(True))
-    runs = pairs.withColumn("run", F.sum(new.cast("int")).over(w)).groupBy("a", "b", "shift", "run").agg(F.min("a_at").alias("low"), F.max("a_at").alias("high"))
-    runs = written(runs.select(F.xxhash64("a", "b", "shift", "low").alias("id"), "a", "b", "shift", "low", (F.col("high") + k).alias("high")), "runs")
-    # words on both sides of the run, so many that a run of ``least`` words shows
-    side = lambda s, doc, shift: F.struct(F.lit(s).alias("side"), F.col(doc).alias("doc"), (F.col("low") - shift - least).alias("from"), (F.col("high") - shift + least).alias("to"))
-    wanted = runs.select("id", F.explode(F.array(side(0, "a", F.lit(0)), side(1, "b", F.col("shift")))).alias("x")).select("id", "x.*")
-    got = stretches(docs.where("text is not null"), wanted)
-    both = got.groupBy("id").agg(
-        *[F.first(F.when(F.col("side") == s, F.struct("from", "words")), ignorenulls=True).alias(n) for s, n in ((0, "x"), (1, "y"))]
+    kept = written(shared(written(seeds_of(docs, k, window, around=window - 1), "suffixes")), "kept")
+    mixed = written(kept.groupBy("key").agg(F.min("context").alias("c"), F.max("context").alias("d")).where("c != d").select("key"), "mixed")
+    alike = kept.join(mixed, "key", "left_anti")
+    rest = kept.join(mixed, "key", "left_semi").select("doc", "place")
+    found = shared(written(windows_at(docs, rest, least, k), "windows"))
+    spans = alike.select(F.col("doc").alias("doc_id"), "other", "start", "end").union(
+        found.select("doc", "other", "place", F.col("place") + least)
     )
-
-    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            starts, ends = [], []
-            for low, high, shift, x, y in zip(pdf["low"], pdf["high"], pdf["shift"], pdf["x"], pdf["y"], strict=True):
-                if x is None or y is None:
-                    starts.append(low)
-                    ends.append(high)
-                    continue
-                p, q = np.frombuffer(x["words"], np.uint32), np.frombuffer(y["words"], np.uint32)
-                i, j = low - x["from"], low - shift - y["from"]
-                n = min(i, j)
-                differ = np.flatnonzero(p[i - n : i] != q[j - n : j])
-                left = n - (differ[-1] + 1 if len(differ) else 0)
-                i, j = high - x["from"], high - shift - y["from"]
-                n = min(len(p) - i, len(q) - j)
-                differ = np.flatnonzero(p[i : i + n] != q[j : j + n])
-                starts.append(low - left)
-                ends.append(high + (differ[0] if len(differ) else n))
-            yield pdf[["a", "b", "shift"]].assign(start=starts, end=ends)
-
-    joined = runs.join(both, "id").select("a", "b", "shift", "low", "high", "x", "y")
-    found = joined.mapInPandas(extend, "a long, b long, shift int, start int, end int").where(F.col("end") - F.col("start") >= least)
-    spans = found.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.col("start"), F.col("end")),
-                F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end")),
-            )
-        ).alias("s")
-    ).select("s.*")
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     merged = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
