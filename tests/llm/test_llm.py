@@ -309,6 +309,39 @@ def test_op8_scores(spark, docs, texts, none):
     assert ngram_lm.score_all(none).count() == 0
 
 
+def test_op8_different_ngrams_stay_apart_in_one_shard():
+    rng = np.random.default_rng(8)
+    n = 200_000
+    hashes = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+    n = len(hashes)
+    one = np.full(n, 77, dtype=np.uint64)
+    for left, right in ((hashes, one), (one, hashes)):  # many contexts of a word, many words of a context
+        t = ngram_lm.Tokens(np.stack([left, right], 1).ravel(), np.arange(0, 2 * n + 1, 2))
+        for order in (2, 3):
+            _, keys, at = t.distinct(order, 1)
+            assert len(np.unique(at[1::2])) == n
+
+
+def test_op8_great_counts_are_exact(spark):
+    rows = [(i, "x y z") for i in range(1500)] + [(9000, "x y"), (9001, "y z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t.split() + [None] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    c, b, g = Counter(), Counter(), Counter()
+    for w in train:
+        x = ["<", "<", *w]
+        c.update(w)
+        b.update(zip(x[1:], x[2:], strict=False))
+        g.update(zip(x, x[1:], x[2:], strict=False))
+    n, v, m2, m3 = sum(c.values()), len(c), 7.0, 3.0
+    x, want = ["<", "x", "y", "z", None], 0.0
+    for j in range(1, 5):
+        p1 = (c[x[j]] + 0.1) / (n + 0.1 * (v + 1))
+        p2 = (b[x[j - 1], x[j]] + m2 * p1) / ((c[None] if j == 1 else c[x[j - 1]]) + m2)
+        want += math.log10(p2 if j == 1 else (g[x[j - 2], x[j - 1], x[j]] + m3 * p2) / (b[x[j - 2], x[j - 1]] + m3))
+    got = ngram_lm.score_all(d, m2=m2, m3=m3).where("doc_id = 0").first()["score"]
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_op8_elias_fano_and_trie():
     rng = np.random.default_rng(6)
     for n, bits in ((0, 44), (1, 44), (900, 44), (5000, 63), (50, 64)):

@@ -4,14 +4,17 @@ Texts become batches of word hashes. For each order, a batch sends its distinct
 shards, as one block of coded keys for each shard, with their counts in the training fold. A
 shard adds up the counts of all batches and lays out its n-grams as a trie: a level of contexts,
 monotone pointers to their successors, and the successors, coded relative to their context,
-with quantised counts. The levels are a file that is memory-mapped and asked for all n-grams
+with their counts. The levels are a file that is memory-mapped and asked for all n-grams
 that batches sent: a context is found by successor search and its word within the context's
 range only. Answers return to the batches in key order and the texts are scored.
 
 The probability of a word is smoothed along the orders: with p1 the base (add 0.1),
-p2 = (c(v w) + m2 p1) / (c(v) + m2) and p3 = (c(u v w) + m3 p2) / (c(u v) + m3). Counts up to 191 are
-kept exactly; greater ones are quantised, rounded down above the line and up below it, so that
-the probabilities of all words sum to one at most.
+p2 = (c(v w) + m2 p1) / (c(v) + m2) and p3 = (c(u v w) + m3 p2) / (c(u v) + m3). All counts are exact:
+a byte each, and those that a byte does not hold in a list beside them.
+
+An n-gram is known by 64 bits in its shard: 16 of its context and 48 of the context and the word
+together. Two n-grams of different contexts are taken for one with probability 2**-64 in a shard, two of
+one context with 2**-48.
 
 All counts are over all training rows; what shards hold grows with the corpus and no n-gram is
 pruned. A context's successors are spread over ``SLICES`` slices, so that a frequent context does
@@ -40,8 +43,8 @@ from .elias_fano import Sequence, decode, encode
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 SLICES = 64
 ORDERS = (1, 2, 3)
-WORD_BITS, KEY_BITS = 20, 44
-EXACT = 191
+WORD_BITS, KEY_BITS = 48, 64
+EXACT, OVER = 191, 255
 
 
 def quantise(c: np.ndarray) -> np.ndarray:
@@ -81,7 +84,8 @@ class Tokens:
             two[self.first] = BEGIN
             ctx = mix64(ctx + two * U64(0x9FB21C651E98DF25))
         place = (ctx & U64(0xFFFFFF)) + (w & U64(SLICES - 1)) * U64(0x9E3779)
-        key = ((ctx >> U64(64 - KEY_BITS + WORD_BITS)) << U64(WORD_BITS)) | (w >> U64(64 - WORD_BITS))
+        gram = mix64(ctx ^ (mix64(w ^ U64(0xD6E8FEB86659FD93)) * U64(0xA24BAED4963EE407)))
+        key = ((ctx >> U64(WORD_BITS)) << U64(WORD_BITS)) | (gram >> U64(64 - WORD_BITS))
         return (mix64(place) % U64(shards)).astype(np.int64), key
 
     def distinct(self, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,21 +111,35 @@ def tokens_of(texts: list[str | None]) -> Tokens:
     return Tokens(out, off)
 
 
+def packed(c: np.ndarray) -> bytes:
+    """Counts as bytes, with those from OVER on in full behind them."""
+    return zlib.compress(np.array([len(c)], dtype=np.int64).tobytes() + np.minimum(c, OVER).astype(np.uint8).tobytes() + c[c >= OVER].astype(np.int64).tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    raw = zlib.decompress(blob)
+    n = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
+    out = np.frombuffer(raw[8 : 8 + n], dtype=np.uint8).astype(np.int64)
+    out[out == OVER] = np.frombuffer(raw[8 + n :], dtype=np.int64)
+    return out
+
+
 class Trie:
-    """One shard's n-grams of an order. Levels in one file: contexts, pointers, successors, codes."""
+    """One shard's n-grams of an order. Levels in one file: contexts, pointers, successors, counts
+    up to OVER; greater counts are a list of (place, count)."""
 
-    def __init__(self, file, keys: np.ndarray, codes: np.ndarray):
+    def __init__(self, file, keys: np.ndarray, counts: np.ndarray):
         ctx = keys >> U64(WORD_BITS)
         first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
         number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
         # successors relative to their context: its number above the word, so that the level ascends
         level = (number.astype(U64) << U64(WORD_BITS)) | (keys & U64((1 << WORD_BITS) - 1))
-        bits = WORD_BITS + max(1, int(len(first)).bit_length())
+        bits = min(64, WORD_BITS + max(1, int(len(first)).bit_length()))
         parts = [
             encode(ctx[first], KEY_BITS - WORD_BITS),
             encode(np.append(first, len(keys)).astype(U64), max(1, int(len(keys)).bit_length())),
             encode(level, bits),
-            codes.astype(np.uint8).tobytes(),
+            np.minimum(counts, OVER).astype(np.uint8).tobytes(),
         ]
         at = np.cumsum([0, *map(len, parts)])
         for p in parts:
@@ -131,10 +149,12 @@ class Trie:
         level_of = [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         self.contexts, self.pointers, self.words = (Sequence(x) for x in level_of[:3])
         self.codes = level_of[3]
+        self.over = np.flatnonzero(counts >= OVER)
+        self.over_counts = counts[self.over]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of the n-grams, 0 where the trie has none."""
-        out = np.zeros(len(keys), dtype=np.uint8)
+        """Counts of the n-grams, 0 where the trie has none."""
+        out = np.zeros(len(keys), dtype=np.int64)
         if not self.contexts.n or not len(keys):
             return out
         ctx = keys >> U64(WORD_BITS)
@@ -153,6 +173,8 @@ class Trie:
         hit = i < stop
         hit[hit] = self.words.get(i[hit]) == target[hit]
         out[at[hit]] = self.codes[i[hit]]
+        big = np.flatnonzero(hit)[self.codes[i[hit]] == OVER]
+        out[at[big]] = self.over_counts[np.searchsorted(self.over, i[big])]
         return out
 
 
@@ -234,13 +256,13 @@ def score_all(docs: DataFrame, folds: int = 10, m2: float = 10_000.0, m3: float
         if order == 1:
             for k, batch in zip(keys, pdf["batch"], strict=True):
                 i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
-                c = np.where(key[i] == k, total[i], 0) if len(key) else np.zeros(len(k))
-                out.append((batch, order, shard, zlib.compress(c.astype(np.uint32).tobytes(), 1), 0, 0))
+                c = np.where(key[i] == k, total[i], 0) if len(key) else np.zeros(len(k), dtype=np.int64)
+                out.append((batch, order, shard, packed(c), 0, 0))
         else:
             with tempfile.TemporaryFile() as file:
-                trie = Trie(file, key, quantise(total))
+                trie = Trie(file, key, total)
                 for k, batch in zip(keys, pdf["batch"], strict=True):
-                    out.append((batch, order, shard, zlib.compress(trie.find(k).tobytes(), 1), 0, 0))
+                    out.append((batch, order, shard, packed(trie.find(k)), 0, 0))
         out.append((-1, order, shard, b"", int(total.sum()), len(key)))
         return pd.DataFrame(out, columns=["batch", "order", "shard", "answer", "total", "distinct"])
 
@@ -254,16 +276,15 @@ def score_all(docs: DataFrame, folds: int = 10, m2: float = 10_000.0, m3: float
         for order in ORDERS:
             _, _, at = t.distinct(order, shards)
             part = right[right["order"] == order].sort_values("shard")
-            flat = np.frombuffer(b"".join(zlib.decompress(x) for x in part["answer"]), dtype=np.uint32 if order == 1 else np.uint8)
-            got[order] = flat[at]
-        c1 = got[1].astype(np.float64)
+            got[order] = np.concatenate([unpacked(x) for x in part["answer"]])[at].astype(np.float64)
+        c1 = got[1]
         n_docs = c1[t.off[1:] - 1]  # of the end token: the training texts
         p1 = (c1 + 0.1) / (n + 0.1 * (v + 1))
         c_v = np.concatenate([[0.0], c1[:-1]])
         c_v[t.first] = n_docs
-        p2 = (restored(got[2]) + m2 * p1) / (c_v + m2)
-        c_uv = np.concatenate([[0.0], restored(got[2], up=True)[:-1]])
-        p = np.where(t.first, p2, (restored(got[3]) + m3 * p2) / (c_uv + m3))
+        p2 = (got[2] + m2 * p1) / (c_v + m2)
+        c_uv = np.concatenate([[0.0], got[2][:-1]])
+        p = np.where(t.first, p2, (got[3] + m3 * p2) / (c_uv + m3))
         start = t.off[:-1]
         ids = pd.Series(np.frombuffer(row["doc_ids"], dtype=np.int64), dtype="Int64").mask(np.frombuffer(row["no_id"], dtype=bool))
         return pd.DataFrame(
