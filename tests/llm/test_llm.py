@@ -153,6 +153,23 @@ def test_op4_links_and_classes(spark, docs, texts, none):
     assert 1 - (1 - 0.84) ** ngram_join.runs_for(0.999, 0.8, 1) >= 0.999
 
 
+def test_op4_runs_reach_the_recall_at_the_last_level(none, monkeypatch):
+    runs = ngram_join.runs_for(0.9999, 0.8, 5)
+    rng = np.random.default_rng(4)
+    agree = rng.binomial(ngram_join.PLACES, 0.8, 200_000) / ngram_join.PLACES
+    missed = np.ones(len(agree), dtype=bool)
+    for _ in range(runs):
+        nodes = np.ones(len(agree), dtype=np.int64)
+        for _ in range(5):
+            nodes = rng.binomial(nodes + rng.binomial(nodes, 0.25), agree)
+        missed &= nodes == 0
+    assert missed.mean() < 2e-4
+    asked = []
+    monkeypatch.setattr(ngram_join, "runs_for", lambda *a: asked.append(a) or 1)
+    ngram_join.similar_texts(none, depth=5)
+    assert asked == [(0.9999, 0.8, 5)]
+
+
 def test_op5_fingerprints(spark, docs, texts, none, tmp_path):
     s = fingerprints.sketches(["a b c d e f g h", "a b c d e f g h", "", None, "a"])
     assert str(s[0]) == str(s[1]) and str(s[2]) == str(s[3]) and fingerprints.likeness(s[2], s[3]) == 1 and fingerprints.likeness(s[2], s[4]) == 0

@@ -32,13 +32,21 @@ _B = (mix64(np.arange(301, 301 + PLACES, dtype=U64)) >> U64(32)).astype(np.uint3
 
 def runs_for(recall: float, threshold: float, depth: int) -> int:
     """Runs after which a pair at the threshold is missed with probability 1-recall at most,
-    when it must survive ``depth`` levels."""
+    when it must survive ``depth`` levels. All runs sample the same PLACES of a set, so that the
+    probability is a mean over the number of places in which the pair agrees."""
     k = 1 / threshold
     more = k - math.floor(k)
-    p = 1.0
-    for _ in range(depth):
-        p = (1 - more) * (1 - (1 - threshold * p) ** math.floor(k)) + more * (1 - (1 - threshold * p) ** (math.floor(k) + 1))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    lost, weight = [], []
+    for agree in range(PLACES + 1):
+        x, p = agree / PLACES, 1.0
+        for _ in range(depth):
+            p = (1 - more) * (1 - (1 - x * p) ** math.floor(k)) + more * (1 - (1 - x * p) ** (math.floor(k) + 1))
+        lost.append(1 - p)
+        weight.append(math.comb(PLACES, agree) * threshold**agree * (1 - threshold) ** (PLACES - agree))
+    runs = 1
+    while sum(w * q**runs for w, q in zip(weight, lost, strict=True)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _first_places(run: int, threshold: float, seed: int) -> list[int]:
@@ -217,7 +225,7 @@ def similar_texts(
     bucket_limit: sets that a bucket may hold to be compared without a further split.
     dense: a bucket whose sets are as similar as this on average is compared at once, in
     blocks of ``block`` sets, since no split would part them."""
-    runs = runs_for(recall, threshold, 3)
+    runs = runs_for(recall, threshold, depth)  # the first buckets and all their splits
     paths = [_first_places(r, threshold, seed) for r in range(runs)]
     rows = docs.select("doc_id", "text")
     sketched = written(
