@@ -5,16 +5,20 @@ confirmed toxic texts and unlabelled texts. The risk is
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; while the second part is negative, its
 gradient is climbed instead, so that the classifier cannot fit the unlabelled texts as
 negatives. The prior is the share of toxic rows among the labelled rows that may be learnt
-from. Rows are dealt to several classifiers, trained side by side; their logits are averaged.
+from. Rows are dealt to classifiers of about ``bag_texts`` texts, trained side by side; their logits are averaged.
+A feature is one that toxic texts hold more or less often than unlabelled ones by a G statistic of ``least_g`` or more
+(16: six in a hundred thousand by chance), so that few toxic texts bring few features.
 
 Bounds: a model is fitted on at most ``most_positive`` toxic and ``most_unlabelled`` unlabelled
-texts, six for each toxic one (those with the least hash of doc_id), never on held-out rows, and keeps at most
+texts (those with the least hash of doc_id), never on held-out rows, and a classifier keeps at most
 ``most_features`` features. Every row of the input is scored, over its whole text.
 
 Rules for odd input: null and empty texts get the score of a text without words; labels that
 are null or of unknown ids are ignored; without any confirmed toxic row all scores are the
 prior (0.01 if no label is known); repeated rows are scored each; null doc_id counts as not
-held out and is scored as any other row.
+held out and is scored as any other row; a long text counts by the set of its words, whole; an empty
+table gives no rows; ties in the choice of texts or features go by doc_id or name; other columns, whatever their
+names, are not read, and ``without_toxic`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import exact_id, fold, id_again, lean, table, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -53,15 +57,29 @@ def feature_numbers(texts: Iterable[str | None], names: dict[str, int]) -> list[
     return [np.fromiter((names.setdefault(f, len(names)) for f in text_features(t)), dtype=np.int32) for t in texts]
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], names: dict[str, int], prior: float, most_features: int = 300, steps: int = 300, rate: float = 0.05) -> tuple[dict[str, float], float]:
+def g_statistic(in_pos: np.ndarray, in_unl: np.ndarray, p: int, u: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of one share in both samples against a share in each."""
+
+    def part(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
+        share = np.clip(share, 1e-12, 1 - 1e-12)
+        return k * np.log(share) + (n - k) * np.log(1 - share)
+
+    both = (in_pos + in_unl) / (p + u)
+    return 2 * (part(in_pos, p, in_pos / p) + part(in_unl, u, in_unl / u) - part(in_pos, p, both) - part(in_unl, u, both))
+
+
+def fit_nnpu(
+    pos: list[np.ndarray], unl: list[np.ndarray], names: dict[str, int], prior: float, most_features: int = 2000, steps: int = 300, rate: float = 0.05, least_g: float = 16.0
+) -> tuple[dict[str, float], float]:
     """(weights, bias) of a logistic classifier under the non-negative PU risk, from numbered
     features. The ridge penalty falls with the number of toxic texts."""
     l2 = 0.25 / len(pos)
     p, u = len(pos), max(1, len(unl))
     some = lambda x: np.concatenate(x) if len(x) else np.zeros(0, dtype=np.int32)
     in_pos, in_unl = np.bincount(some(pos), minlength=len(names)), np.bincount(some(unl), minlength=len(names))
+    g = g_statistic(in_pos, in_unl, p, u)
     gain = np.abs(np.log((in_pos + 0.5) / (p + 1)) - np.log((in_unl + 0.5) / (u + 1))) * np.sqrt(in_pos)
-    gain[in_pos < (3 if p >= 100 else 2)] = -1
+    gain[(g < least_g) | (in_pos < 2)] = -1
     listed = list(names)
     best = sorted(np.flatnonzero(gain > 0).tolist(), key=lambda i: (-gain[i], listed[i]))[:most_features]
     n = len(best)
@@ -94,25 +112,23 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], names: dict[str, int]
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return {listed[f]: float(w[i]) for i, f in enumerate(best) if abs(w[i]) > 1e-2}, float(b)
+    return {listed[f]: float(w[i]) for i, f in enumerate(best)}, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = 16_000, most_unlabelled: int = 48_000, seed: int = 17) -> tuple[dict[str, float], float, float]:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = 16_000, most_unlabelled: int = 48_000, bag_texts: int = 5000, seed: int = 17) -> tuple[dict[str, float], float, float]:
     """(weights, bias, prior), learnt from rows outside fold 0."""
     lab = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), folds) != 0)
     n, k = lab.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     if not k:
         return {}, math.log(0.01 / 0.99), 0.01
     prior = min(0.95, max(1e-3, k / n))
-    # so many unlabelled texts that the estimate of their risk is no coarser than that of the toxic ones
-    most_unlabelled = min(most_unlabelled, max(2000, 6 * k))
-    bags = max(1, min(16, (min(k, most_positive) + most_unlabelled) // 5000))
     h = F.xxhash64("doc_id", F.lit(seed))
     ids = docs.select("doc_id").where("doc_id is not null").where(fold(F.col("doc_id"), folds) != 0)
-    pos = lab.where("toxic = 1").select("doc_id").distinct().orderBy(h).limit(most_positive).withColumn("positive", F.lit(True))
-    unl = ids.join(labels.where("toxic is not null").select("doc_id"), "doc_id", "left_anti").distinct().orderBy(h).limit(most_unlabelled).withColumn("positive", F.lit(False))
+    pos = lab.where("toxic = 1").select("doc_id").distinct().orderBy(h, "doc_id").limit(most_positive).withColumn("positive", F.lit(True))
+    unl = ids.join(labels.where("toxic is not null").select("doc_id"), "doc_id", "left_anti").distinct().orderBy(h, "doc_id").limit(most_unlabelled).withColumn("positive", F.lit(False))
     # at most most_positive + most_unlabelled rows of two columns
-    chosen = F.broadcast(pos.union(unl))
+    chosen = written(pos.union(unl), "chosen")
+    bags = max(1, round(chosen.count() / bag_texts))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         names: dict[str, int] = {}
@@ -123,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int
         w, b = fit_nnpu(p, u, names, prior)
         return pd.DataFrame({"feature": [*w, ""], "weight": [*w.values(), b]})
 
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("bag", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(bags)))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("bag", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(bags)))
     got = sample.groupBy("bag").applyInPandas(fit, "feature string, weight double").groupBy("feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
     rows = got.collect()  # bags * most_features rows at most
     trained = next((r["n"] for r in rows if r["feature"] == ""), 0)
@@ -165,11 +181,11 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, folds: int =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf[["doc_id", "held_out"]].assign(score=scores(pdf["text"].tolist()))
+            yield pdf[["doc_id", "no_id", "held_out"]].assign(score=scores(pdf["text"].tolist()))
 
     held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
-    got = docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
-    return got.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
+    got = docs.select(*exact_id(), held.alias("held_out"), "text").mapInPandas(lean(run), "doc_id long, no_id boolean, held_out boolean, score double")
+    return got.select(id_again(), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, weights: dict[str, float], bias: float, limit: float = 0.5) -> DataFrame:
@@ -180,7 +196,7 @@ def without_toxic(docs: DataFrame, weights: dict[str, float], bias: float, limit
         for b in batches:
             yield b.filter(pa.array(scores(b.column("text").to_pylist()) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
