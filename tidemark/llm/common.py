@@ -3,16 +3,19 @@ written tables in the shared folder, folds, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 WORD_LUT = np.zeros(256, dtype=bool)
 WORD_LUT[0x80:] = True
@@ -27,17 +30,62 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is only set where none is configured."""
+    """The folder all executors share; a local one is only set where none is configured and no cluster is there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return at or _own.setdefault(spark.sparkContext.applicationId, f"/tmp/checkpoints/{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_at(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back; with the path.
+    The shuffle files of that job go when it has ended, since nothing else reads them."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", compression).parquet(at)
+    finally:
+        spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    return written_at(df, name, compression)[0]
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    """Delete a table of this library that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function of mapInPandas or mapInArrow, giving free memory back to the system when a task
+    ends: Python workers stay for later tasks, and what they hold adds to what the next stage takes."""
+
+    def whole(frames: Iterator) -> Iterator:
+        yield from run(frames)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
+def exact_id(name: str = "doc_id") -> tuple[Column, Column]:
+    """An id without nulls, and no_id where it was null: pandas would make doubles of ids beside a null."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(0)).alias(name), F.col(name).isNull().alias("no_id")
+
+
+def id_again(name: str = "doc_id") -> Column:
+    return F.when(~F.col("no_id"), F.col(name)).alias(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,7 +216,7 @@ def doc_slices(d: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(d, np.arange(n + 1))
 
 
-def text_chunks(ids: Iterable, texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_chunks(ids: Iterable, texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together have about ``limit`` characters."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -212,7 +260,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     Alternating large-star and small-star steps; every step is a grouped minimum and a
     join, and its result is a written table. Ends when a step changes nothing."""
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u != v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e, at = written_at(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(most):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -220,10 +268,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         j = large.join(low2, "u")
-        e = written(
+        e, now_at = written_at(
             j.select(F.col("u"), F.col("m").alias("v")).union(j.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct(),
             "edges",
         )
+        removed(e.sparkSession, at)
+        at = now_at
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

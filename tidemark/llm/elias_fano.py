@@ -8,58 +8,75 @@ U64 = np.uint64
 
 
 def low_bits(n: int, universe_bits: int) -> int:
-    """Bits kept as they are: universe / n on average, in whole bytes so that they need no shifts."""
-    return min(64, -(-max(0, universe_bits - (int(n).bit_length() - 1)) // 8) * 8) if n else 0
+    """Bits kept as they are: log2 of universe / n."""
+    return min(64, max(0, universe_bits - (int(n).bit_length() - 1))) if n else 0
 
 
 def encode(x: np.ndarray, universe_bits: int) -> bytes:
-    """Ascending unsigned integers below 2**universe_bits: a head of two integers, the low bytes
-    and the high parts in unary."""
+    """Ascending unsigned integers below 2**universe_bits: a head of two integers, the low bits of all,
+    one after the other, and the high parts in unary."""
     n = len(x)
     low = low_bits(n, universe_bits)
     head = np.array([n, low], dtype=np.uint64).tobytes()
     if not n:
         return head
-    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(n, 8)[:, : low // 8]
     high = (x.astype(U64) >> U64(low)).astype(np.int64) if low < 64 else np.zeros(n, dtype=np.int64)
     high += np.arange(n)
     unary = np.zeros(int(high[-1]) + 1, dtype=np.uint8)
     unary[high] = 1
-    return head + raw.tobytes() + np.packbits(unary, bitorder="little").tobytes()
+    return head + _narrow(x, low) + np.packbits(unary, bitorder="little").tobytes()
+
+
+def _narrow(x: np.ndarray, low: int) -> bytes:
+    """The ``low`` low bits of each, packed, and eight bytes behind them so that any of them can be read as two words."""
+    out = []
+    for a in range(0, len(x), 1 << 16):  # a multiple of 8: every part ends on a whole byte
+        bits = np.unpackbits(np.ascontiguousarray(x[a : a + (1 << 16)].astype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low]
+        out.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
+    return b"".join(out) + bytes(9)
 
 
 def _parts(buffer: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Number, low bits, low bytes and high parts."""
+    """Number, low bits, bytes of the low bits and high parts."""
     n, low = (int(v) for v in np.frombuffer(buffer[:16].tobytes(), dtype=np.uint64))
-    size = n * low // 8
-    lows = buffer[16 : 16 + size].reshape(n, low // 8) if n and low else np.zeros((n, 0), dtype=np.uint8)
+    size = -(-n * low // 8) + 9 if n else 0
     high = np.flatnonzero(np.unpackbits(np.asarray(buffer[16 + size :]), bitorder="little"))[:n] - np.arange(n)
-    return n, low, lows, high
+    return n, low, buffer[16 : 16 + size], high
 
 
-def _whole(lows: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(lows), 8), dtype=np.uint8)
-    wide[:, : lows.shape[1]] = lows
-    return wide.view("<u8").ravel().astype(U64)
+def _lows(packed: np.ndarray, i: np.ndarray, low: int) -> np.ndarray:
+    """Low bits of entries ``i``: the nine bytes that hold them, shifted and cut."""
+    if not low or not len(i):
+        return np.zeros(len(i), dtype=U64)
+    bit = i.astype(np.int64) * low
+    at, shift = bit >> 3, (bit & 7).astype(U64)
+    out = np.zeros(len(i), dtype=U64)
+    for j in range(8):
+        out |= packed[at + j].astype(U64) << U64(8 * j)
+    out >>= shift
+    # the ninth byte adds the bits that the shift took from the top
+    last = packed[at + 8].astype(U64)
+    out |= np.where(shift > 0, last << ((U64(64) - shift) & U64(63)), U64(0))
+    return out & U64((1 << low) - 1) if low < 64 else out
 
 
 def decode(blob) -> np.ndarray:
-    n, low, lows, high = _parts(np.frombuffer(blob, dtype=np.uint8))
+    n, low, packed, high = _parts(np.frombuffer(blob, dtype=np.uint8))
     if not n:
         return np.zeros(0, dtype=U64)
-    return _whole(lows) | (high.astype(U64) << U64(low) if low < 64 else U64(0))
+    return _lows(packed, np.arange(n), low) | (high.astype(U64) << U64(low) if low < 64 else U64(0))
 
 
 class Sequence:
     """An encoded sequence in a byte buffer (a memory map as a rule), searched without decoding it
-    whole: the high parts give the stretch of entries that share them, and low bytes are read
+    whole: the high parts give the stretch of entries that share them, and low bits are read
     for the entries that a search meets."""
 
     def __init__(self, buffer: np.ndarray):
-        self.n, self.low, self.lows, self.high = _parts(buffer)
+        self.n, self.low, self.packed, self.high = _parts(buffer)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        out = _whole(self.lows[i])
+        out = _lows(self.packed, i, self.low)
         return out | (self.high[i].astype(U64) << U64(self.low)) if self.low < 64 else out
 
     def search(self, x: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:

@@ -20,8 +20,11 @@ All counts are over all training rows; what shards hold grows with the corpus an
 pruned. A context's successors are spread over ``SLICES`` slices, so that a frequent context does
 not gather in one shard.
 
+Batches hold about BATCH_CHARS characters, shards as many n-grams as SHARD_TOKENS tokens have, so that both grow in
+number only.
+
 Rules for odd input: null text counts as empty, which is one end token; null doc_id is in the
-training fold; repeated rows count each; a word is a run of bytes other than space and 0x09-0x0D, with
+training fold; repeated rows count each; a text of any length lies in one batch; an empty table gives no rows; a word is a run of bytes other than space and 0x09-0x0D, with
 A-Z in lower case; an empty training fold gives N = 0 and the base of an unseen word.
 """
 
@@ -37,11 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_LUT, U64, fold, mix64, table, text_chunks, words_of, written
+from .common import SPACE_LUT, U64, exact_id, fold, lean, mix64, table, text_chunks, words_of, written
 from .elias_fano import Sequence, decode, encode
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 SLICES = 64
+BATCH_CHARS, SHARD_TOKENS = 8 << 20, 1_500_000
 ORDERS = (1, 2, 3)
 WORD_BITS, KEY_BITS = 48, 64
 EXACT, OVER = 191, 255
@@ -182,15 +186,15 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, i = TaskContext.get().partitionId(), 0
     for pdf in frames:
         texts = pdf["text"].tolist()
-        for a, b in text_chunks(texts, texts):
+        for a, b in text_chunks(texts, texts, BATCH_CHARS):
             t = tokens_of(texts[a:b])
             word, local = np.unique(t.hash, return_inverse=True)
-            ids = pdf["doc_id"].iloc[a:b]
             yield pd.DataFrame(
                 {
                     "batch": [(part << 32) + i],
-                    "doc_ids": [ids.fillna(0).to_numpy(dtype=np.int64).tobytes()],
-                    "no_id": [ids.isna().to_numpy().tobytes()],
+                    "n_tokens": [len(t.hash)],
+                    "doc_ids": [pdf["doc_id"].iloc[a:b].to_numpy(dtype=np.int64).tobytes()],
+                    "no_id": [pdf["no_id"].iloc[a:b].to_numpy(dtype=bool).tobytes()],
                     "held": [pdf["held_out"].iloc[a:b].to_numpy(dtype=bool).tobytes()],
                     "off": [t.off.astype(np.int64).tobytes()],
                     "words": [word.tobytes()],
@@ -215,12 +219,12 @@ def _opened(row) -> tuple[Tokens, np.ndarray]:
 
 def score_all(docs: DataFrame, folds: int = 10, m2: float = 10_000.0, m3: float = 10.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    spark = docs.sparkSession
-    shards = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False))
-    rows = docs.select("doc_id", "text", held.alias("held_out"))
+    rows = docs.select(*exact_id(), "text", held.alias("held_out"))
     binary = "doc_ids binary, no_id binary, held binary, off binary, words binary, tokens binary"
-    batches = written(rows.mapInPandas(_batches, f"batch long, {binary}"), "batches", "zstd")
+    batches = written(rows.mapInPandas(lean(_batches), f"batch long, n_tokens long, {binary}"), "batches", "zstd")
+    n_tokens = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    shards = max(12, -(-n_tokens // SHARD_TOKENS))
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -230,15 +234,14 @@ def score_all(docs: DataFrame, folds: int = 10, m2: float = 10_000.0, m3: float
                 for order in ORDERS:
                     s, k, at = t.distinct(order, shards)
                     c = np.bincount(at[train], minlength=len(s)).astype(np.uint32)
-                    cut = np.searchsorted(s, np.arange(shards + 1))
+                    met = np.unique(s)
+                    cut = np.append(np.searchsorted(s, met), len(s))
                     out = []
-                    for x in range(shards):
-                        a, b = cut[x], cut[x + 1]
-                        if a < b:
-                            out.append((order, x, row["batch"], encode(k[a:b], 64 if order == 1 else KEY_BITS), zlib.compress(c[a:b].tobytes(), 1)))
+                    for x, a, b in zip(met.tolist(), cut[:-1], cut[1:], strict=True):
+                        out.append((order, x, row["batch"], encode(k[a:b], KEY_BITS), zlib.compress(c[a:b].tobytes(), 1)))
                     yield pd.DataFrame(out, columns=["order", "shard", "batch", "keys", "counts"])
 
-    sent = batches.mapInPandas(send, "order int, shard int, batch long, keys binary, counts binary")
+    sent = batches.mapInPandas(lean(send), "order int, shard int, batch long, keys binary, counts binary")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         order, shard = int(pdf["order"].iloc[0]), int(pdf["shard"].iloc[0])
