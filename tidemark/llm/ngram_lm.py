@@ -116,15 +116,16 @@ def tokens_of(texts: list[str | None]) -> Tokens:
 
 
 def packed(c: np.ndarray) -> bytes:
-    """Counts as bytes, with those from OVER on in full behind them."""
-    return zlib.compress(np.array([len(c)], dtype=np.int64).tobytes() + np.minimum(c, OVER).astype(np.uint8).tobytes() + c[c >= OVER].astype(np.int64).tobytes(), 1)
+    """Counts as bytes, with those from OVER on in full behind them: all first bytes, all second ones, and so on."""
+    over = c[c >= OVER].astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(np.array([len(c)], dtype=np.int64).tobytes() + np.minimum(c, OVER).astype(np.uint8).tobytes() + over.tobytes(), 1)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
     raw = zlib.decompress(blob)
     n = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
     out = np.frombuffer(raw[8 : 8 + n], dtype=np.uint8).astype(np.int64)
-    out[out == OVER] = np.frombuffer(raw[8 + n :], dtype=np.int64)
+    out[out == OVER] = np.ascontiguousarray(np.frombuffer(raw[8 + n :], dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
     return out
 
 
@@ -226,50 +227,56 @@ def score_all(docs: DataFrame, folds: int = 10, m2: float = 10_000.0, m3: float
     n_tokens = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = max(12, -(-n_tokens // SHARD_TOKENS))
 
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for _, row in pdf.iterrows():
-                t, held_out = _opened(row)
-                train = ~held_out[t.owner]
-                for order in ORDERS:
+    def send(order: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for _, row in pdf.iterrows():
+                    t, held_out = _opened(row)
+                    train = ~held_out[t.owner]
                     s, k, at = t.distinct(order, shards)
-                    c = np.bincount(at[train], minlength=len(s)).astype(np.uint32)
+                    c = np.bincount(at[train], minlength=len(s))
                     met = np.unique(s)
                     cut = np.append(np.searchsorted(s, met), len(s))
-                    out = []
-                    for x, a, b in zip(met.tolist(), cut[:-1], cut[1:], strict=True):
-                        out.append((order, x, row["batch"], encode(k[a:b], KEY_BITS), zlib.compress(c[a:b].tobytes(), 1)))
-                    yield pd.DataFrame(out, columns=["order", "shard", "batch", "keys", "counts"])
-
-    sent = batches.mapInPandas(lean(send), "order int, shard int, batch long, keys binary, counts binary")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, shard = int(pdf["order"].iloc[0]), int(pdf["shard"].iloc[0])
-        keys = [decode(x) for x in pdf["keys"]]
-        counts = np.concatenate([np.frombuffer(zlib.decompress(x), dtype=np.uint32) for x in pdf["counts"]])
-        every = np.concatenate(keys)
-        seen = counts > 0
-        key, counts = every[seen], counts[seen]
-        o = np.argsort(key, kind="stable")
-        key, counts = key[o], counts[o]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
-        total = np.add.reduceat(counts.astype(np.int64), first) if len(key) else np.zeros(0, dtype=np.int64)
-        key = key[first]
-        out = []
-        if order == 1:
-            for k, batch in zip(keys, pdf["batch"], strict=True):
-                i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
-                c = np.where(key[i] == k, total[i], 0) if len(key) else np.zeros(len(k), dtype=np.int64)
-                out.append((batch, order, shard, packed(c), 0, 0))
-        else:
-            with tempfile.TemporaryFile() as file:
-                trie = Trie(file, key, total)
+                    out = [(x, row["batch"], encode(k[a:b], KEY_BITS), packed(c[a:b])) for x, a, b in zip(met.tolist(), cut[:-1], cut[1:], strict=True)]
+                    yield pd.DataFrame(out, columns=["shard", "batch", "keys", "counts"])
+
+        return batches.mapInPandas(lean(run), "shard int, batch long, keys binary, counts binary")
+
+    def count(order: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            shard = int(pdf["shard"].iloc[0])
+            keys = [decode(x) for x in pdf["keys"]]
+            counts = np.concatenate([unpacked(x) for x in pdf["counts"]])
+            every = np.concatenate(keys)
+            seen = counts > 0
+            key, counts = every[seen], counts[seen]
+            o = np.argsort(key, kind="stable")
+            key, counts = key[o], counts[o]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+            total = np.add.reduceat(counts, first) if len(key) else np.zeros(0, dtype=np.int64)
+            key = key[first]
+            out = []
+            if order == 1:
                 for k, batch in zip(keys, pdf["batch"], strict=True):
-                    out.append((batch, order, shard, packed(trie.find(k)), 0, 0))
-        out.append((-1, order, shard, b"", int(total.sum()), len(key)))
-        return pd.DataFrame(out, columns=["batch", "order", "shard", "answer", "total", "distinct"])
-
-    answers = written(sent.groupBy("order", "shard").applyInPandas(count, "batch long, order int, shard int, answer binary, total long, distinct long"), "answers")
+                    i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
+                    c = np.where(key[i] == k, total[i], 0) if len(key) else np.zeros(len(k), dtype=np.int64)
+                    out.append((batch, order, shard, packed(c), 0, 0))
+            else:
+                with tempfile.TemporaryFile() as file:
+                    trie = Trie(file, key, total)
+                    for k, batch in zip(keys, pdf["batch"], strict=True):
+                        out.append((batch, order, shard, packed(trie.find(k)), 0, 0))
+            out.append((-1, order, shard, b"", int(total.sum()), len(key)))
+            return pd.DataFrame(out, columns=["batch", "order", "shard", "answer", "total", "distinct"])
+
+        return run
+
+    # one order after the other, so that the n-grams of one only are on their way
+    answers = None
+    for order in ORDERS:
+        got = send(order).groupBy("shard").applyInPandas(count(order), "batch long, order int, shard int, answer binary, total long, distinct long")
+        got = written(got, "answers")
+        answers = got if answers is None else answers.union(got)
     n, v = answers.where("batch = -1 and order = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     def score(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
