@@ -79,6 +79,17 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
+def apart(df: DataFrame, *names: str) -> DataFrame:
+    """df with its own columns of these names renamed, by ``_`` behind them, to make room for a result's."""
+    for name in names:
+        if name in df.columns:
+            free = name + "_"
+            while free in df.columns:
+                free += "_"
+            df = df.withColumnRenamed(name, free)
+    return df
+
+
 def exact_id(name: str = "doc_id") -> tuple[Column, Column]:
     """An id without nulls, and no_id where it was null: pandas would make doubles of ids beside a null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(0)).alias(name), F.col(name).isNull().alias("no_id")

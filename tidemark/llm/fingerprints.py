@@ -10,7 +10,9 @@ texts), it is 1 for equal number and least hash, else 0.
 
 Rules for odd input: null text counts as empty; texts without words share the fingerprint of
 the empty set and are alike to each other; a text of 1 to 4 words has one shingle; rows with equal or
-null doc_id are ordered by text among themselves, null ids first.
+null doc_id are ordered by text among themselves, null ids first; texts of any length are read whole; an empty table
+gives no rows; columns other than doc_id and text, whatever their names, are not read. A text with few shingles may keep none:
+its likeness to an edited text is then 0.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_slices, shingles_of, table, text_chunks, words_of
+from .common import U64, doc_slices, exact_id, id_again, lean, shingles_of, table, text_chunks, words_of
 
 ONE_IN = 8
 
@@ -80,9 +82,10 @@ def fingerprints(docs: DataFrame, k: int = 5, one_in: int = ONE_IN) -> DataFrame
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             texts = pdf["text"].tolist()
-            yield pdf[["doc_id"]].assign(n_chars=[len(t or "") for t in texts], fingerprint=[str(s) for s in sketches(texts, k, one_in)])
+            yield pdf[["doc_id", "no_id"]].assign(n_chars=[len(t or "") for t in texts], fingerprint=[str(s) for s in sketches(texts, k, one_in)])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
+    got = docs.select(*exact_id(), "text").mapInPandas(lean(run), "doc_id long, no_id boolean, n_chars long, fingerprint string")
+    return got.select(id_again(), "n_chars", "fingerprint")
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -112,7 +115,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
     rows, n = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"]
+    columns = ["doc_id", "no_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []  # the last row of a part, waiting for the next document
@@ -129,27 +132,25 @@ def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
             for i, s in zip(odd, sketches([following[i] for i in odd], 5), strict=True):
                 f[i] = s
             got = [
-                (doc, len(t), hashlib.sha256(d.encode("utf-8", "replace")).hexdigest(), str(x), str(y), likeness(x, y), likeness(x, z), containment(x, y), containment(x, z))
+                (doc or 0, doc is None, len(t), hashlib.sha256(d.encode("utf-8", "replace")).hexdigest(), str(x), str(y), likeness(x, y), likeness(x, z), containment(x, y), containment(x, z))
                 for (doc, t, _), d, x, y, z in zip(batch, edited, a, e, f, strict=True)
             ]
-            pdf = pd.DataFrame(got, columns=columns)
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            return pdf
+            return pd.DataFrame(got, columns=columns)
 
         part = None
         for pdf in frames:
             batch, size = [], 0
-            for p, doc, text, ahead in zip(pdf["part"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["ahead"].tolist(), strict=True):
+            for p, doc, no_id, text, ahead in zip(*(pdf[c].tolist() for c in ("part", "doc_id", "no_id", "text", "ahead")), strict=True):
                 text = text or ""
                 if p != part:
                     part, held = p, []
                 if held:
                     batch.append((*held[0], text))
                     size += len(text)
-                held = [] if ahead else [(None if doc != doc else doc, text)]
+                held = [] if ahead else [(None if no_id else doc, text)]
                 if ahead:
                     part = None if p is None else part
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield out(batch)
                     batch, size = [], 0
             if batch:
@@ -157,7 +158,8 @@ def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
 
     # a part's own rows come first, in order, then the first row of the next part
     dealt = rows.repartition(n, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInPandas(
-        run,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double",
+    got = dealt.select("part", *exact_id(), "text", "ahead").mapInPandas(
+        lean(run),
+        "doc_id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double",
     )
+    return got.select(id_again(), *columns[2:])

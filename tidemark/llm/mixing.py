@@ -11,7 +11,8 @@ block, and the last pass ends with the document that reaches the budget.
 
 Rules for odd input: null text counts as empty; a document's tokens are its words, and one for
 its end, so that empty texts count; null is a source of its own; repeated rows are rows of
-their own; an empty table gives no rows.
+their own, and of equal rows all or none are used in the last pass; rows without doc_id are dealt by their text; texts of any
+length are whole; an empty table gives no rows. A column of the input named copy, block or block_order is returned with _ behind its name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import apart, table, written
 
 
 def weights_at(tokens: list[int], exponent: float) -> list[float]:
@@ -70,10 +71,11 @@ def mix(docs: DataFrame, budget: int | None | str = "all", entropy_share: float
 
     budget: tokens; "all": as many as docs has; None: the least with which every source is
     passed once at least."""
-    own = docs.columns
+    docs = apart(docs, "copy", "block", "block_order")
     n_tokens = (F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\\S+")) + 1).cast("long")
-    keyed = docs.select("*", n_tokens.alias("_n"))
-    sized = keyed.select("doc_id", "source", "_n", F.xxhash64("doc_id", F.lit(seed)).alias("_h"))
+    # the rows as one column: no name of theirs meets one of these
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("no_id"), n_tokens.alias("_n"))
+    sized = keyed.select("doc_id", "no_id", "source", "_n")
     totals = sized.groupBy("source").agg(F.sum("_n").alias("tokens"), F.count("*").alias("docs"))
     rows = totals.orderBy(F.col("source").asc_nulls_first()).collect()  # one row a source
     if not rows:
@@ -87,7 +89,7 @@ def mix(docs: DataFrame, budget: int | None | str = "all", entropy_share: float
         "source string, whole long, rest long, blocks long",
     )
     plan = F.broadcast(plan)  # one row a source
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))
+    block = F.pmod(F.xxhash64("doc_id", "no_id", F.lit(seed)), F.col("blocks"))
     in_source = lambda d: d.join(plan, d["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     sized = in_source(sized).withColumn("block", block)
     order = lambda b: F.xxhash64("source", b, "whole", F.lit(seed + 1))
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, budget: int | None | str = "all", entropy_share: float
     per = written(sized.groupBy("source", "block").agg(F.sum("_n").alias("t"), F.first("whole").alias("whole"), F.first("rest").alias("rest")), "blocks")
     w = Window.partitionBy("source").orderBy(order("block"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = per.withColumn("upto", F.sum("t").over(w)).select("source", "block", (F.col("rest") - (F.col("upto") - F.col("t"))).alias("left"), "t")
-    full = in_source(keyed).withColumn("block", block).withColumn("_h", F.xxhash64("doc_id", F.col("whole"), F.lit(seed + 2)))
+    full = in_source(keyed).withColumn("block", block).withColumn("_h", F.xxhash64("doc_id", "no_id", F.col("whole"), F.lit(seed + 2)))
     ends = ends.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "left", "t")
     j = full.join(ends, full["source"].eqNullSafe(ends["_s"]) & (full["block"] == ends["_b"]))
     cut = j.select("source", "block", "doc_id", "_n", "_h", "left", "t").where("left > 0 and left < t")
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, budget: int | None | str = "all", entropy_share: float
     )
     uses = (F.col("whole") + in_last).cast("int")
     out = j.where(uses > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), uses - 1)))
-    return out.select(*own, F.col("copy").cast("long").alias("copy"), F.col("block").cast("long").alias("block"), F.xxhash64("source", "block", F.col("copy").cast("long"), F.lit(seed + 1)).alias("block_order"))
+    return out.select("row.*", F.col("copy").cast("long").alias("copy"), F.col("block").cast("long").alias("block"), F.xxhash64("source", "block", F.col("copy").cast("long"), F.lit(seed + 1)).alias("block_order"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

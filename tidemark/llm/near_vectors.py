@@ -11,7 +11,9 @@ components are united.
 
 Rules for odd input: vectors that are null, empty, zero, or hold null or non-finite components,
 and vectors without a label, link with nothing and are components of their own; vectors of
-different lengths are not compared; rows without vec_id come back without component.
+different lengths are not compared; rows without vec_id come back without component; rows that share a vec_id are
+vectors of their own, which link by their components only; equal vectors of a label link with each other; an empty table gives no rows;
+columns other than vec_id, embedding and label, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -269,12 +271,15 @@ def links_of(graph: Graph, base: np.ndarray, q: np.ndarray, threshold: float, re
         if len(waiting):
             dense_q, dense_n = _shared_beam(graph, base, q, np.concatenate(full_q), np.concatenate(full_n), threshold)
             fq, fn = np.concatenate([fq, *dense_q]), np.concatenate([fn, *dense_n])
+        # each probe with links counts alike, so that one in a dense group does not speak for the others
         got = np.zeros_like(truth)
         place = np.full(len(q), NONE)
         place[probe] = np.arange(len(probe))
         mine = place[fq] >= 0
         got[place[fq[mine]], fn[mine]] = True
-        if (got & truth).sum() >= recall * truth.sum() or ef >= n:
+        linked = truth.sum(axis=1)
+        some = linked > 0
+        if not some.any() or ((got & truth).sum(axis=1)[some] / linked[some]).mean() >= recall or ef >= n:
             return fq, fn
         ef *= 2
 
@@ -308,14 +313,16 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, shard: int = 8192, re
     )
     marked = rows.withColumn("usable", usable)
     good = marked.where("usable")
-    nodes = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
+    # a node has a number of its own, since vec_id may stand for several vectors
+    nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     per = nodes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
     dealt = (
         nodes.withColumn("dim", F.size("embedding"))
         .join(per, ["label", "dim"])
         .withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-        .drop("n")
+        .withColumn("block", F.pmod(F.xxhash64("least", "embedding"), F.col("shards")).cast("int"))
+        .drop("n", "least")
     )
     dealt = written(dealt, "dealt")
 
@@ -369,8 +376,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, shard: int = 8192, re
     )
     comp = components(found, "node", "to_node")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by = nodes.join(links, "node", "left").join(comp, "node", "left")
-    by = by.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    by = nodes.join(links, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = by.groupBy("component").agg(F.min("least").alias("component_id"))
+    by = by.join(first, "component").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = good.join(by, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = marked.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

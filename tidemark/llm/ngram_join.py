@@ -10,7 +10,8 @@ split again. Independent runs repeat this until the expected recall reaches the
 Rules for odd input: null text counts as empty; a text without words is similar to nothing
 but texts with the same words (none), which count as copies; a text of 1 to 4 words has one
 shingle of all of them; equal texts count as copies and are compared once; rows without
-doc_id are returned with null class and no links; repeated ids are separate rows.
+doc_id are returned with null class and no links; repeated ids are separate rows; texts of any length are
+compared whole; an empty table gives no rows; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, doc_slices, grouped_stream, mix64, shingles_of, table, text_chunks, words_of, written
+from .common import U64, components, doc_slices, exact_id, grouped_stream, id_again, lean, mix64, shingles_of, table, text_chunks, words_of, written
 
 PLACES = 64
 _A = (mix64(np.arange(101, 101 + PLACES, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -75,7 +76,7 @@ def _identity(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def _sketch(paths: list[list[int]], k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            ids, no_id, texts = pdf["doc_id"].to_numpy(), pdf["no_id"].to_numpy(), pdf["text"].tolist()
             for a, b in text_chunks(ids, texts):
                 h, d = shingles_of(words_of(texts[a:b]), k)
                 off = doc_slices(d, b - a)
@@ -97,7 +98,7 @@ def _sketch(paths: list[list[int]], k: int):
                     key = key.view(np.int64)
                     for j, t in enumerate(full):
                         sig[t], keys[t] = s[j].view(np.int32), key[j]
-                yield pd.DataFrame({"doc_id": ids[a:b], "node": node, "size": size, "sig": sig, "paths": keys})
+                yield pd.DataFrame({"doc_id": ids[a:b], "no_id": no_id[a:b], "node": node, "size": size, "sig": sig, "paths": keys})
 
     return run
 
@@ -228,10 +229,8 @@ def similar_texts(
     runs = runs_for(recall, threshold, depth)  # the first buckets and all their splits
     paths = [_first_places(r, threshold, seed) for r in range(runs)]
     rows = docs.select("doc_id", "text")
-    sketched = written(
-        rows.mapInPandas(_sketch(paths, k), "doc_id long, node long, size long, sig array<int>, paths array<long>"),
-        "signatures",
-    )
+    sketched = docs.select(*exact_id(), "text").mapInPandas(lean(_sketch(paths, k)), "doc_id long, no_id boolean, node long, size long, sig array<int>, paths array<long>")
+    sketched = written(sketched.select(id_again(), "node", "size", "sig", "paths"), "signatures")
     nodes = sketched.where("doc_id is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     reps = (
         sketched.where("size > 0 and doc_id is not null")
@@ -289,7 +288,7 @@ def similar_texts(
         rows.join(wanted, "doc_id")
         .select("text", "node", "copies", "buckets", "at")
         .mapInPandas(
-            fetch,
+            lean(fetch),
             "node long, copies long, buckets array<long>, at array<struct<bucket:long,nb:int,block:int>>, shingles binary",
         )
     )
@@ -305,7 +304,7 @@ def similar_texts(
         .drop("o")
     )
     found = written(
-        spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInPandas(run, "node long, links long, to_node long"),
+        spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInPandas(lean(run), "node long, links long, to_node long"),
         "links",
     )
     comp = components(found, "node", "to_node")

@@ -9,7 +9,8 @@ the longest length left. Only the histogram (one count a class) is in the driver
 ranked within their class and a rank selects the pattern, the sequence and the place.
 
 Rules for odd input: null text counts as empty and has the end id alone; repeated rows are
-packed each; rows with null doc_id are packed, too; an empty table gives no rows.
+packed each; rows with null doc_id are packed, too; long texts are cut, never shortened; pieces of one length go by doc_id, start and
+checksum; an empty table gives no rows; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import exact_id, id_again, lean, table, written
 
 CAPACITY, GRAIN = 2048, 8
 
@@ -111,17 +112,17 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         enc = encoder(path)
         for pdf in frames:
             rows = []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for doc, no_id, text in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"].tolist(), strict=True):
                 ids = enc(text or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), n))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((doc, no_id, start, len(part) // 4, zlib.crc32(part), n))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens"])
+        enc.known.clear()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    got = docs.select(*exact_id(), "text").mapInPandas(lean(run), "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long")
+    return got.select(id_again(), "start", "length", "ids_crc32", "doc_tokens")
 
 
 def price(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:

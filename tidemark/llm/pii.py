@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import apart, lean, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "address")
@@ -153,16 +153,16 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def find_all(docs: DataFrame) -> DataFrame:
-    """docs with a column ``spans``: an array of kind, start and end."""
+    """docs with a column ``spans``: an array of kind, start and end. A column of docs with that name is ``spans_`` in the result."""
 
     def run(batches):
         for b in batches:
             spans = [[{"kind": k, "start": x, "end": y} for k, x, y in find(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, type=_SPANS)], [*b.schema.names, "spans"])
 
-    docs = docs.drop("spans")
+    docs = apart(docs, "spans")
     spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("spans", spans)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("spans", spans)]))
 
 
 def without_pii(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def without_pii(docs: DataFrame) -> DataFrame:
             columns = dict(zip(b.schema.names, b.columns, strict=True)) | {"text": pa.array(clean, type=b.schema.field("text").type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -8,7 +8,8 @@ stretch is found, whatever number of documents share a part of it; overlapping o
 
 Rules for odd input: rows without doc_id or text have no spans; rows with one doc_id are one
 document; repeats within one document do not count; words are runs of letters and digits in
-lower case, so that case, punctuation and spacing do not matter.
+lower case, so that case, punctuation and spacing do not matter; texts of any length are read whole; of several partners the
+least doc_id is named; an empty table gives no rows; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, rolling, table, text_chunks, words_of, written
+from .common import U64, lean, rolling, table, text_chunks, words_of, written
 from .seeds import seeds_of, shared, sliding
 
 
@@ -51,7 +52,7 @@ def windows_at(docs: DataFrame, places: DataFrame, least: int, k: int) -> DataFr
                 yield pd.DataFrame({"key": key.view(np.int64), "doc": pdf["doc"].to_numpy()[a:b][owner], "place": (s - words.off[owner]).astype(np.int32)})
 
     rows = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null").join(asks, "doc")
-    return rows.mapInPandas(run, "key long, doc long, place int")
+    return rows.mapInPandas(lean(run), "key long, doc long, place int")
 
 
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
