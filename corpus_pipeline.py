@@ -30,7 +30,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Uses of documents under operator 1: every source is passed once at least, so that no clean
     document goes, and 1.5 times at most."""
-    return mixing.mix(docs, budget=None, entropy_share=0.95, most_passes=1.5).select(docs.columns)
+    got = mixing.mix(docs, budget=None, entropy_share=0.95, most_passes=1.5)
+    return got.select(got.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
