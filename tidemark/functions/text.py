@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalised_title(x: Column) -> Column:
@@ -28,22 +32,33 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(x: pd.Series) -> pd.Series:
+    return x.map(html.unescape, na_action="ignore")
+
+
 def clean_html(x: Column) -> Column:
-    """Text of markup: tags as spaces, the five named entities, white space as one space."""
-    t = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """Text of markup: all character references resolved, then tags as spaces, white space as one space."""
+    t = F.when(F.contains(x, F.lit("&")), _unescaped(x)).otherwise(x)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"(?U)\s+", " "))
+
+
+# query names that begin so are left out
+TRACKING = ("utm_", "fbclid", "gclid", "ref", "source")
 
 
 def canonical_url(x: Column) -> Column:
-    """Lower-case host without www, path without a last slash, query sorted and without tracking parameters."""
-    bare = F.regexp_replace(F.regexp_replace(x, "#.*$", ""), "^[A-Za-z]+://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*(/[^?]*)?", 1), "/+$", "")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|fbclid|gclid|ref)=")))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    """Scheme and host in lower case, path without last slashes, query sorted and coded anew without tracking names, no fragment."""
+    url = F.trim(x)
+    part = lambda i: F.regexp_extract(url, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", i)
+    plain = lambda s: F.coalesce(F.try_url_decode(s), s)
+    coded = lambda s: F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), plain(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).rlike("^(" + "|".join(TRACKING) + ")")))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(coded(p["k"]), F.lit("="), coded(p["v"]))), "&")
+    host = F.when(part(2) != "", F.concat(F.lit("//"), F.lower(part(2)))).otherwise("")
+    scheme = F.when(part(1) != "", F.concat(F.lower(part(1)), F.lit(":"))).otherwise("")
+    return F.concat(scheme, host, F.regexp_replace(part(3), "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def fingerprint(*parts: Column) -> Column:

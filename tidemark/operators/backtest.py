@@ -59,19 +59,24 @@ def stop_or_take(panel: DataFrame, stop: float, take: float, hold: int) -> DataF
 
 
 def rank_exit(panel: DataFrame, score: str, k: int, keep: int, cap: int) -> DataFrame:
-    """Entries are the k best of a date. A position ends on the first day from the second on at
-    whose eve the name is not among the ``keep`` best, ``cap`` days after entry at most."""
+    """Entries are the k best of a date. A position ends on the first day from the second on at whose eve the latest
+    scores, of that day or an earlier one, do not have the name among the ``keep`` best (names without a score are not), ``cap``
+    days after entry at most. Before the first scores it is held."""
     w = Window.partitionBy("date").orderBy(F.desc(score), "ticker")
-    ranked = panel.where(F.col(score).isNotNull()).withColumn("_i", F.row_number().over(w)).select("ticker", "date", "_i")
-    e = panel.join(ranked, ["ticker", "date"], "left")
+    ranked = panel.where(F.col(score).isNotNull()).withColumn("_i", F.row_number().over(w)).select("ticker", F.col("date").alias("_signal"), "_i")
+    # one row a session: the latest session with scores
+    days = panel.groupBy("date").agg(F.count(score).alias("_n"))
+    latest = F.last(F.when(F.col("_n") > 0, F.col("date")), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    e = panel.join(F.broadcast(days.select("date", latest.alias("_signal"))), "date").join(ranked, ["ticker", "_signal"], "left")
     own = Window.partitionBy("ticker").orderBy("date")
-    rows = own.rowsBetween(1, cap - 1)
-    out = F.collect_list(F.coalesce(F.col("_i") > keep, F.lit(True))).over(rows)
-    e = e.withColumns({"_entry": F.lead("open", 1).over(own), "_out": out, "_path": F.collect_list(F.coalesce("execution_close", F.lit(-1.0))).over(own.rowsBetween(1, cap))})
-    e = e.where((F.col("_i") <= k) & (F.col("_entry") > 0) & (F.size("_path") == cap))
+    gone = F.collect_list(F.col("_signal").isNotNull() & F.coalesce(F.col("_i") > keep, F.lit(True))).over(own.rowsBetween(1, cap - 1))
+    path = F.collect_list(F.struct("execution_close")).over(own.rowsBetween(1, cap))
+    e = e.withColumns({"_entry": F.lead("open", 1).over(own), "_out": gone, "_path": path})
+    e = e.where((F.col("_signal") == F.col("date")) & (F.col("_i") <= k) & (F.col("_entry") > 0) & (F.size("_path") == cap))
     pos = F.array_position("_out", True)
     day = F.when(pos > 0, pos + 1).otherwise(F.lit(cap).cast("long"))
-    return e.withColumn("_d", day).select("ticker", "date", F.col("_d").alias("exit_day"), (F.element_at("_path", F.col("_d").cast("int")) / F.col("_entry") - 1).alias("exit_return"))
+    at = F.element_at("_path", F.col("_d").cast("int"))["execution_close"]
+    return e.withColumn("_d", day).select("ticker", "date", F.col("_d").alias("exit_day"), (at / F.col("_entry") - 1).alias("exit_return"))
 
 
 def ladder_exit(panel: DataFrame, legs: list[int]) -> DataFrame:
@@ -86,7 +91,7 @@ def scale_in(panel: DataFrame, drop: float, window: int, hold: int) -> DataFrame
     """A second equal leg at the first close ``drop`` below the entry within ``window`` rows;
     the return of both legs at the close of ``hold`` rows, in units of the first leg."""
     w = Window.partitionBy("ticker").orderBy("date")
-    p = panel.withColumns({"_entry": F.lead("open", 1).over(w), "_path": F.collect_list(F.coalesce("execution_close", F.lit(-1.0))).over(w.rowsBetween(1, hold))})
+    p = panel.withColumns({"_entry": F.lead("open", 1).over(w), "_path": F.transform(F.collect_list(F.struct("execution_close")).over(w.rowsBetween(1, hold)), lambda s: s["execution_close"])})
     p = p.where((F.col("_entry") > 0) & (F.size("_path") == hold))
     low = F.transform(F.slice("_path", 1, window), lambda c: c <= F.col("_entry") * (1 - drop))
     day = F.array_position(low, True)

@@ -9,12 +9,18 @@ from .frames import prior_rows
 
 
 def decayed(daily: DataFrame, key: str, date: str, x: str, half_life: float, floor: float = 1e-3, horizon: float = 60.0) -> DataFrame:
-    """d_t = x_t + a d_(t-1) along each key's rows; small values become 0 after the recursion."""
-    alpha = 0.5 ** (1 / half_life)
-    w = Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.aggregate(F.collect_list(F.coalesce(x, F.lit(0.0))).over(w), F.lit(0.0), lambda d, v: d * alpha + v)
+    """d_t = x_t + a d_(t-1) for every key along all sessions of the calendar; small values become 0 after the recursion.
+
+    The recursion in closed form: the sum of x_s / a**s up to t, times a**t; sessions are counted from the middle of the
+    calendar, so that the powers stay finite for 2000 half-lives."""
+    sessions = daily.agg(F.array_sort(F.collect_set(date)).alias("_dates"))  # one row, one entry a session
+    grid = daily.select(key).distinct().join(F.broadcast(sessions), F.lit(True))
+    grid = grid.select(key, (F.size("_dates") / 2).cast("int").alias("_mid"), F.posexplode("_dates").alias("_t", date))
+    j = grid.join(daily, [key, date], "left").withColumn("_p", F.pow(F.lit(2.0), (F.col("_t") - F.col("_mid")) / half_life))
+    w = Window.partitionBy(key).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("decay", F.sum(F.coalesce(x, F.lit(0.0)) * F.col("_p")).over(w) / F.col("_p"))
     least = 0.5 ** (horizon / half_life) * floor
-    return daily.withColumn("decay", value).withColumn("decay", F.when(F.abs("decay") < least, 0.0).otherwise(F.col("decay")))
+    return j.withColumn("decay", F.when(F.abs("decay") < least, 0.0).otherwise(F.col("decay"))).drop("_t", "_p", "_mid")
 
 
 def rolling_actives(events: DataFrame, session: Column, member: str, spans: list[int]) -> DataFrame:

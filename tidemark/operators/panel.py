@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by, full, last_rows, prior_rows
+from .frames import by, full, last_rows
 
 
 def finite(x: Column) -> Column:
@@ -73,6 +73,8 @@ def price_features(panel: DataFrame) -> DataFrame:
     out = out.withColumns(
         {
             "value": c("close") * c("volume"),
+            "volume_log": F.log1p("volume"),
+            "value_log": F.log1p(c("close") * c("volume")),
             "range_pct": ratio(c("high") - c("low"), c("close")),
             "gap_open": ratio(c("open"), F.lag("close", 1).over(by())) - 1,
             "intraday_return": ratio(c("close"), c("open")) - 1,
@@ -84,15 +86,17 @@ def price_features(panel: DataFrame) -> DataFrame:
         | {f"volatility_{n}d": full(F.stddev_samp("return_1d"), c("return_1d"), f(n), n) for n in VOLATILITIES}
         | {
             "downside_volatility_20d": full(F.stddev_samp(F.when(c("return_1d") < 0, c("return_1d")).otherwise(0.0)), F.lit(1), f(20), 20),
-            "volume_z20": zscore("volume", 20),
-            "volume_z60": zscore("volume", 60),
-            "value_z20": zscore("value", 20),
+            "volume_z20": zscore("volume_log", 20),
+            "volume_z60": zscore("volume_log", 60),
+            "value_z20": zscore("value_log", 20),
+            "value_z60": zscore("value_log", 60),
             "range_z20": zscore("range_pct", 20),
             "value_ma20_log": F.log1p(full(F.avg("value"), c("value"), f(20), 20)),
             "amihud_20d": full(F.avg(ratio(F.abs(c("return_1d")), c("value"))), ratio(F.abs(c("return_1d")), c("value")), f(20), 20),
             "drawdown_20d": ratio(c("close"), full(F.max("close"), c("close"), f(20), 20)) - 1,
             "drawdown_120d": ratio(c("close"), full(F.max("close"), c("close"), f(120), 120)) - 1,
-            "breakout_20d": ratio(c("close"), full(F.max("close"), c("close"), prior_rows(20), 20)) - 1,
+            "breakout_20d": ratio(c("close"), full(F.min("close"), c("close"), f(20), 20)) - 1,
+            "breakout_120d": ratio(c("close"), full(F.min("close"), c("close"), f(120), 120)) - 1,
             "range_position_120d": ratio(
                 c("close") - full(F.min("close"), c("close"), f(120), 120), full(F.max("close"), c("close"), f(120), 120) - full(F.min("close"), c("close"), f(120), 120)
             ),

@@ -14,7 +14,8 @@ from .panel_queries import r6, s6
 
 @register(
     "event_decay",
-    """WITH RECURSIVE d AS (SELECT user_id, CAST(ts AS DATE) AS date, sum(value) AS x FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date) AS i FROM d),
+    """WITH RECURSIVE d AS (SELECT user_id, CAST(ts AS DATE) AS date, sum(value) AS x FROM events GROUP BY ALL), c AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM d)),
+ n AS (SELECT u.user_id, c.date, c.i, coalesce(d.x, 0) AS x FROM (SELECT DISTINCT user_id FROM d) u CROSS JOIN c LEFT JOIN d ON d.user_id = u.user_id AND d.date = c.date),
  q AS (SELECT user_id, date, i, CAST(x AS DOUBLE) AS v FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.date, n.i, q.v * (0.5 ** (1 / 5.0)) + n.x FROM q JOIN n ON n.user_id = q.user_id AND n.i = q.i + 1)
  SELECT user_id, date, round(CASE WHEN abs(v) < 0.5 ** (60 / 5.0) * 1e-3 THEN 0 ELSE v END, 5) AS decay FROM q""",
 )
@@ -57,14 +58,14 @@ def same_clock_shock(spark, sf_dir):
 
 @register(
     "asof_last_event",
-    """WITH o AS (SELECT o_orderkey, o_custkey AS user_id, o_orderdate + (to_days(CAST(date_diff('day', o_orderdate, (SELECT max(ts) FROM events)) AS INT)) - to_days(CAST(o_orderkey % 20 AS INT))) AS at FROM orders WHERE o_custkey <= 500),
+    """WITH o AS (SELECT o_orderkey, o_custkey AS user_id, o_orderdate + (to_days(CAST(date_diff('day', o_orderdate, (SELECT max(ts) FROM events)) AS INT)) - to_days(CAST(o_orderkey % 20 AS INT))) AS at FROM orders),
  e AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) SELECT o.o_orderkey, e.event_id AS event_id FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.at >= e.ts""",
 )
 def asof_last_event(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     top = ev.agg(F.max("ts").alias("top"))
     days = F.datediff("top", "o_orderdate") - (F.col("o_orderkey") % 20).cast("int")
-    o = table(spark, sf_dir, "orders").where("o_custkey <= 500").join(F.broadcast(top), F.lit(True))  # one row
+    o = table(spark, sf_dir, "orders").join(F.broadcast(top), F.lit(True))  # one row
     o = o.select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + F.make_dt_interval(days)).alias("at"))
     return asof.asof_backward(o, ev, ["user_id"], "at", "ts", tie=["event_id"]).select("o_orderkey", F.col("r_event_id").alias("event_id"))
 
@@ -224,9 +225,9 @@ def doc_fingerprint(spark, sf_dir):
 
 @register(
     "canonical_url",
-    r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://', '') AS u FROM pages), q AS (SELECT page_id, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', '') AS host, regexp_replace(regexp_extract(u, '^[^/?]*(/[^?]*)?', 1), '/+$', '') AS path,
- list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|ref)='))) AS kept FROM b)
- SELECT page_id, host || coalesce(path, '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM q""",
+    r"""WITH b AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query']) AS u FROM pages),
+ q AS (SELECT page_id, u, list_sort(list_transform(list_filter(string_split(u.query, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(url_decode(p)), '^(utm_|fbclid|gclid|ref|source)')), lambda p: [url_decode(split_part(p, '=', 1)), url_decode(substr(p, len(split_part(p, '=', 1)) + 2))])) AS kept FROM b)
+ SELECT page_id, lower(u.scheme) || '://' || lower(u.host) || rtrim(u.path, '/') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda p: url_encode(p[1]) || '=' || url_encode(p[2])), '&') ELSE '' END AS canonical FROM q""",
 )
 def canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.canonical_url(F.col("url")).alias("canonical"))
@@ -234,8 +235,9 @@ def canonical_url(spark, sf_dir):
 
 @register(
     "clean_html",
-    r"""WITH a AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages), b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM a)
- SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM b""",
+    # the entities that the tables hold; the ampersand comes last
+    r"""WITH a AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM pages), b AS (SELECT page_id, regexp_replace(t, '<[^>]+>', ' ', 'g') AS t FROM a)
+ SELECT page_id, trim(regexp_replace(t, '[\s\x{a0}]+', ' ', 'g')) AS text FROM b""",
 )
 def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.clean_html(F.col("html")).alias("text"))

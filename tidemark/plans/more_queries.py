@@ -82,12 +82,10 @@ def factor_jumps(spark, sf_dir):
 
 @register(
     "seed_ensemble",
-    "WITH p AS (SELECT user_id, CAST(ts AS DATE) AS date, event_type AS seed, value FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)) SELECT user_id, date, round(avg(value), 6) AS mean FROM p GROUP BY ALL HAVING count(DISTINCT seed) = 2",
+    "WITH p AS (SELECT user_id, CAST(ts AS DATE) AS date, event_id % 2 AS seed, value FROM events) SELECT user_id, date, round(avg(value), 6) AS mean FROM p GROUP BY ALL HAVING count(DISTINCT seed) = 2",
 )
 def seed_ensemble(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    two = ev.select("event_type").distinct().orderBy("event_type").limit(2)
-    p = ev.join(F.broadcast(two), "event_type").select("user_id", F.col("ts").cast("date").alias("date"), F.col("event_type").alias("seed"), "value")
+    p = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("date"), (F.col("event_id") % 2).alias("seed"), "value")
     return fu.ensemble(p, ["user_id", "date"], "seed", "value", 2).select("user_id", "date", *r6("mean"))
 
 

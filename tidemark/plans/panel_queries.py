@@ -99,22 +99,23 @@ def _z(x: str, n: int) -> str:
     return f"round(CASE WHEN count({x}) {_frame(n)} >= {n} THEN ({x} - avg({x}) {_frame(n)}) / nullif(stddev_samp({x}) {_frame(n)}, 0) END, 6)"
 
 
-@register("rolling_zscores", f"WITH {DENSE}, q AS (SELECT *, (high - low) / nullif(close, 0) AS range_pct FROM r) SELECT ticker, date, {_z('volume', 20)} AS volume_z20, {_z('volume', 60)} AS volume_z60, {_z('value', 20)} AS value_z20, {_z('range_pct', 20)} AS range_z20 FROM q")
+@register(
+    "rolling_zscores",
+    f"""WITH {DENSE}, q AS (SELECT *, (high - low) / nullif(close, 0) AS range_pct, ln(1 + volume) AS volume_log, ln(1 + value) AS value_log FROM r)
+ SELECT ticker, date, {_z('volume_log', 20)} AS volume_z20, {_z('volume_log', 60)} AS volume_z60, {_z('value_log', 20)} AS value_z20, {_z('value_log', 60)} AS value_z60, {_z('range_pct', 20)} AS range_z20 FROM q""",
+)
 def rolling_zscores(spark, sf_dir):
-    return panel.price_features(dense(spark, sf_dir)).select("ticker", "date", *r6("volume_z20", "volume_z60", "value_z20", "range_z20"))
-
-
-_PRIOR20 = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+    return panel.price_features(dense(spark, sf_dir)).select("ticker", "date", *r6("volume_z20", "volume_z60", "value_z20", "value_z60", "range_z20"))
 
 
 @register(
     "drawdown_breakout_range",
     f"""WITH {DENSE} SELECT ticker, date, round(close / nullif({_full('max(close)', 'close', 20)}, 0) - 1, 6) AS drawdown_20d, round(close / nullif({_full('max(close)', 'close', 120)}, 0) - 1, 6) AS drawdown_120d,
- round(close / nullif(CASE WHEN count(close) {_PRIOR20} >= 20 THEN max(close) {_PRIOR20} END, 0) - 1, 6) AS breakout_20d,
+ round(close / nullif({_full('min(close)', 'close', 20)}, 0) - 1, 6) AS breakout_20d, round(close / nullif({_full('min(close)', 'close', 120)}, 0) - 1, 6) AS breakout_120d,
  round((close - {_full('min(close)', 'close', 120)}) / nullif({_full('max(close)', 'close', 120)} - {_full('min(close)', 'close', 120)}, 0), 6) AS range_position_120d FROM r""",
 )
 def drawdown_breakout_range(spark, sf_dir):
-    return panel.price_features(dense(spark, sf_dir)).select("ticker", "date", *r6("drawdown_20d", "drawdown_120d", "breakout_20d", "range_position_120d"))
+    return panel.price_features(dense(spark, sf_dir)).select("ticker", "date", *r6("drawdown_20d", "drawdown_120d", "breakout_20d", "breakout_120d", "range_position_120d"))
 
 
 @register(
@@ -293,10 +294,10 @@ def stop_take_exit(spark, sf_dir):
 @register(
     "rank_exit",
     f"""WITH {DENSE}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM r), k AS (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY return_4d DESC, ticker) AS rk FROM n WHERE return_4d IS NOT NULL),
- q AS (SELECT n.*, k.rk FROM n LEFT JOIN k ON n.ticker = k.ticker AND n.date = k.date), e AS (SELECT a.ticker, a.date, a.i, b.open AS entry FROM q a JOIN q b ON b.ticker = a.ticker AND b.i = a.i + 1 WHERE a.rk <= 5 AND b.open > 0),
+ q AS (SELECT n.*, (SELECT max(date) FROM k WHERE k.date <= n.date) AS sig FROM n), e AS (SELECT a.ticker, a.date, a.i, b.open AS entry FROM q a JOIN q b ON b.ticker = a.ticker AND b.i = a.i + 1 JOIN k ON k.ticker = a.ticker AND k.date = a.date WHERE k.rk <= 5 AND b.open > 0),
  f AS (SELECT e.* FROM e WHERE EXISTS (SELECT 1 FROM q WHERE q.ticker = e.ticker AND q.i = e.i + 8)),
- x AS (SELECT f.ticker, f.date, f.i, f.entry, coalesce(min(CASE WHEN coalesce(q.rk > 10, true) THEN q.i - f.i + 1 END), 8) AS exit_day FROM f JOIN q ON q.ticker = f.ticker AND q.i BETWEEN f.i + 1 AND f.i + 7 GROUP BY ALL)
- SELECT x.ticker, x.date, x.exit_day, round(coalesce(q.execution_close, -1.0) / x.entry - 1, 6) AS exit_return FROM x JOIN q ON q.ticker = x.ticker AND q.i = x.i + x.exit_day""",
+ x AS (SELECT f.ticker, f.date, f.i, f.entry, coalesce(min(CASE WHEN q.sig IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.ticker = q.ticker AND k.date = q.sig AND k.rk <= 10) THEN q.i - f.i + 1 END), 8) AS exit_day FROM f JOIN q ON q.ticker = f.ticker AND q.i BETWEEN f.i + 1 AND f.i + 7 GROUP BY ALL)
+ SELECT x.ticker, x.date, x.exit_day, round(q.execution_close / x.entry - 1, 6) AS exit_return FROM x JOIN q ON q.ticker = x.ticker AND q.i = x.i + x.exit_day""",
 )
 def rank_exit(spark, sf_dir):
     return backtest.rank_exit(with_returns(spark, sf_dir), "return_4d", 5, 10, 8).select("ticker", "date", "exit_day", *r6("exit_return"))
