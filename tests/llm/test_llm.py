@@ -438,3 +438,43 @@ def test_op10_chains_equal_brute_force():
         assert chaining.chains(list(a), list(b), k, gap)[0][0] <= max(best.values()) + 1e-9
         far = [(7 * x, 7 * y) for x, y in zip(a, b, strict=True)]
         assert chaining.chains([x for x, _ in far], [y for _, y in far], k, gap / 7)[0][0] == pytest.approx(max(best.values()))
+
+
+def test_great_ids_beside_a_null_stay_exact(spark):
+    a, b = (1 << 60) + 1, (1 << 60) + 3
+    d = spark.createDataFrame([(a, "one two three four five six"), (b, "seven eight nine ten eleven twelve"), (None, "one two")], "doc_id long, text string").coalesce(1)
+    ids = lambda df: sorted({r["doc_id"] for r in df.select("doc_id").collect()}, key=lambda x: (x is None, x or 0))
+    every = [toxicity.score(d, {}, -3.0), ngram_join.similar_texts(d), fingerprints.fingerprints(d), packing.pack(d), ngram_lm.score_all(d), pii.find_all(d), mixing.mix(d.withColumn("source", F.lit("s")))]
+    assert all(ids(x) == [a, b, None] for x in every)
+    passage = " ".join(f"p{i}" for i in range(60))
+    two = spark.createDataFrame([(a, passage), (b, passage + " end"), (None, passage)], "doc_id long, text string").coalesce(1)
+    assert ids(suffix_array.repeats(two)) == [a, b]
+    assert ids(chaining.spans(chaining.fuzzy_passages(two))) == [a, b]
+
+
+def test_columns_that_clash_with_results_stay(spark):
+    d = spark.createDataFrame([(1, "a b", "s", 1, 2, 3, 4, 5, 6), (2, "c", "s", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, source string, left int, t int, whole int, bound int, _n int, copy int")
+    got = mixing.mix(d, budget=None, entropy_share=1.0, most_passes=1.0)
+    assert got.columns == [*d.columns[:-1], "copy_", "copy", "block", "block_order"] and got.count() == 2
+    found = pii.find_all(d.withColumn("spans", F.lit("own")))
+    assert found.columns[-2:] == ["spans_", "spans"] and found.first()["spans_"] == "own"
+
+
+def test_op3_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (4, [1.0, 0.0], 0)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]
+
+
+def test_op10_large_groups_lose_no_document(spark):
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(20000)]
+    passage = [rng.choice(words) for _ in range(80)]
+    texts = [[rng.choice(words) for _ in range(20)] + [rng.choice(words) if rng.random() < 0.08 else w for w in passage] for _ in range(150)]
+    own = [[rng.choice(words) for _ in range(12)] for _ in range(2)]  # two of them also share words before the passage
+    texts[7][8:20] = texts[90][8:20] = own[0]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = chaining.fuzzy_passages(d).collect()
+    assert {r["a_doc"] for r in got} | {r["b_doc"] for r in got} == set(range(150))
+    assert (7, 90) in {(r["a_doc"], r["b_doc"]) for r in got}
+    assert len(got) < 150 * 149 / 2
