@@ -49,7 +49,7 @@ def test_merge_releases(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("HTTP://www.Ex.com/a/?b=2&utm_source=q&a=1#f", "<p>a&amp;b</p>\n c", "--1,234.5", "A12")], "u string, h string, n string, e string")
     r = df.select(tx.canonical_url(F.col("u")), tx.clean_html(F.col("h")), tx.vendor_number(F.col("n")), tx.entity_code(F.col("e"))).first()
-    assert tuple(r) == ("ex.com/a?a=1&b=2", "a&b c", -1234.5, "000012")
+    assert tuple(r) == ("http://www.ex.com/a?a=1&b=2", "a&b c", -1234.5, "000012")
 
 
 def test_similar_titles(spark):
@@ -59,3 +59,17 @@ def test_similar_titles(spark):
     assert got == {(1, 3), (1, 2)} or got == {(1, 3)}
     near = titles.similar_titles(spark.createDataFrame(rows, "id int, t string"), "id", "t", 0.7)
     assert {(r["key"], r["other"]) for r in near.collect()} == {(1, 3), (1, 2)}
+
+
+def test_addresses_and_references(spark):
+    urls = {
+        "HTTPS://Ex.com/A/?z=1&utm_x=2&source=q&a=b%20c&Ref=1#top": "https://ex.com/A?a=b+c&z=1",
+        "http://ex.com": "http://ex.com",
+        "http://ex.com/?k": "http://ex.com?k=",
+        "/only/path/": "/only/path",
+        "": "",
+    }
+    d = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r[0]: r[1] for r in d.select("u", tx.canonical_url(F.col("u"))).collect()} == urls
+    h = spark.createDataFrame([("&lt;b&gt;x&eacute;&nbsp;&#39;y&#39;<i>z</i>",), ("plain  text",), (None,)], "h string")
+    assert [r[0] for r in h.select(tx.clean_html(F.col("h"))).collect()] == ["xé 'y' z", "plain text", None]
