@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,26 @@ def test_op4_runs_reach_the_recall_at_the_last_level(none, monkeypatch):
     assert asked == [(0.9999, 0.8, 5)]
 
 
+def test_op4_sets_without_a_partner_leave_their_bucket():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 256, (300, ngram_join.PLACES)).astype(np.uint8)
+    x[150:200, :50] = x[7, :50]
+    x[299, :40], x[1, 24:] = x[100, :40], x[2, 24:]
+    pdf = pd.DataFrame({"bucket": [1] * 200 + [2] * 98 + [3] * 2, "node": range(300), "code": [r.tobytes() for r in x]})
+    for cut in (30, 40, 41):
+        same = (x[:, None] == x[None]).sum(axis=2) >= cut
+        same &= (pdf["bucket"].to_numpy()[:, None] == pdf["bucket"].to_numpy()[None]) & ~np.eye(300, dtype=bool)
+        for parts in ([pdf], [pdf[:10], pdf[10:199], pdf[199:]]):
+            got = pd.concat(ngram_join._with_partner(cut)(iter(parts)))
+            assert sorted(got["node"]) == np.flatnonzero(same.any(axis=1)).tolist()
+
+
+def test_op4_partners_at_the_threshold_stay():
+    cut = ngram_join.least_agreeing(0.8, 1e-6)
+    below = lambda c: sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(c))
+    assert below(cut) <= 1e-6 < below(cut + 1)
+
+
 def test_op5_fingerprints(spark, docs, texts, none, tmp_path):
     s = fingerprints.sketches(["a b c d e f g h", "a b c d e f g h", "", None, "a"])
     assert str(s[0]) == str(s[1]) and str(s[2]) == str(s[3]) and fingerprints.likeness(s[2], s[3]) == 1 and fingerprints.likeness(s[2], s[4]) == 0

@@ -6,6 +6,9 @@ that the node samples, 1/threshold of them on average, so that a pair at the thr
 one shared child on average. Small buckets, buckets whose sets are alike already and buckets
 at the last level are compared exactly, by intersections of the full shingle sets; others are
 split again. Independent runs repeat this until the expected recall reaches the target.
+Before the full sets are fetched, a set leaves each bucket of at most ``block`` sets in which no
+other set's signature agrees with its own in as many places as a pair at the threshold does but
+for a hundredth of the loss that the recall allows.
 
 Rules for odd input: null text counts as empty; a text without words is similar to nothing
 but texts with the same words (none), which count as copies; a text of 1 to 4 words has one
@@ -50,6 +53,14 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return runs
 
 
+def least_agreeing(threshold: float, lost: float) -> int:
+    """The number of places that signatures of a pair at the threshold share but for a probability of ``lost``."""
+    below, cut = 0.0, 0
+    while (below := below + math.comb(PLACES, cut) * threshold**cut * (1 - threshold) ** (PLACES - cut)) <= lost:
+        cut += 1
+    return cut
+
+
 def _first_places(run: int, threshold: float, seed: int) -> list[int]:
     rng = np.random.default_rng([seed, run])
     k = 1 / threshold
@@ -83,12 +94,16 @@ def _sketch(paths: list[list[int]], k: int):
                 full = np.flatnonzero(np.diff(off))
                 node = np.zeros(b - a, dtype=np.int64)
                 size = np.diff(off)
+                bits = np.zeros(b - a, dtype=np.int64)
                 sig: list = [None] * (b - a)
                 keys: list = [None] * (b - a)
+                code: list = [None] * (b - a)
                 if len(full):
                     cuts = np.append(off[full], off[-1])
                     s = signature(h, cuts)
                     node[full] = _identity(h, cuts)
+                    bits[full] = np.packbits((s & np.uint32(1)).astype(bool), axis=1).view(np.int64).ravel()
+                    low = s.astype(np.uint8)
                     key = np.empty((len(full), sum(map(len, paths))), dtype=U64)
                     at = 0
                     for r, places in enumerate(paths):
@@ -97,8 +112,38 @@ def _sketch(paths: list[list[int]], k: int):
                             at += 1
                     key = key.view(np.int64)
                     for j, t in enumerate(full):
-                        sig[t], keys[t] = s[j].view(np.int32), key[j]
-                yield pd.DataFrame({"doc_id": ids[a:b], "no_id": no_id[a:b], "node": node, "size": size, "sig": sig, "paths": keys})
+                        sig[t], keys[t], code[t] = s[j].view(np.int32), key[j], low[j].tobytes()
+                yield pd.DataFrame({"doc_id": ids[a:b], "no_id": no_id[a:b], "node": node, "size": size, "bits": bits, "code": code, "sig": sig, "paths": keys})
+
+    return run
+
+
+def _with_partner(cut: int):
+    """Rows of sets whose signature agrees with another one of the bucket in ``cut`` places; a code
+    holds the low byte of each place. The stream is sorted by bucket."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[pd.DataFrame] = []
+        held = 0
+        for _, g in grouped_stream(frames, ["bucket"]):
+            x = np.frombuffer(b"".join(g["code"]), dtype=np.uint8).reshape(len(g), PLACES)
+            some = np.zeros(len(x), dtype=bool)
+            for a in range(0, len(x), 64):
+                left = np.flatnonzero(~some)
+                if not len(left):
+                    break
+                alike = np.count_nonzero(x[left, None, :] == x[None, a : a + 64, :], axis=2) >= cut
+                itself = left[(left >= a) & (left < a + 64)]
+                alike[np.searchsorted(left, itself), itself - a] = False
+                some[left[alike.any(axis=1)]] = True
+            if some.any():
+                out.append(g.loc[some, ["node", "bucket"]])
+                held += int(some.sum())
+            if held > 20_000:
+                yield pd.concat(out)
+                out, held = [], 0
+        if out:
+            yield pd.concat(out)
 
     return run
 
@@ -229,15 +274,12 @@ def similar_texts(
     runs = runs_for(recall, threshold, depth)  # the first buckets and all their splits
     paths = [_first_places(r, threshold, seed) for r in range(runs)]
     rows = docs.select("doc_id", "text")
-    sketched = docs.select(*exact_id(), "text").mapInPandas(lean(_sketch(paths, k)), "doc_id long, no_id boolean, node long, size long, sig array<int>, paths array<long>")
-    sketched = written(sketched.select(id_again(), "node", "size", "sig", "paths"), "signatures")
+    sketched = docs.select(*exact_id(), "text").mapInPandas(lean(_sketch(paths, k)), "doc_id long, no_id boolean, node long, size long, bits long, code binary, sig array<int>, paths array<long>")
+    sketched = written(sketched.select(id_again(), "node", "size", "bits", "code", "sig", "paths"), "signatures")
     nodes = sketched.where("doc_id is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    reps = (
-        sketched.where("size > 0 and doc_id is not null")
-        .groupBy("node")
-        .agg(F.first("sig").alias("sig"), F.first("paths").alias("paths"))
-    )
-    first = reps.select("node", F.explode("paths").alias("bucket"))
+    # rows of a node are alike in all but doc_id
+    reps = sketched.where("size > 0 and doc_id is not null").groupBy("node")
+    first = reps.agg(F.first("bits").alias("bits"), F.first("paths").alias("paths")).select("node", "bits", F.explode("paths").alias("bucket"))
 
     def counted(r: DataFrame, merge: bool = False) -> DataFrame:
         """Rows of buckets with more than one set, with the bucket's count. merge: of buckets
@@ -257,10 +299,9 @@ def similar_texts(
         if level == depth:
             leaves.append(open_.select("node", "bucket"))
             break
-        sigs = open_.join(reps.select("node", "sig"), "node")
-        means = sigs.groupBy("bucket").agg(*[F.avg(F.element_at("sig", i + 1).bitwiseAND(1)).alias(f"p{i}") for i in range(32)])
-        like = means.select("bucket", (sum((F.col(f"p{i}") * F.col(f"p{i}") + (1 - F.col(f"p{i}")) * (1 - F.col(f"p{i}"))) for i in range(32)) / 32 * 2 - 1).alias("like"))
-        marked = written(sigs.join(like, "bucket"), "level")
+        means = open_.groupBy("bucket").agg(*[F.avg(F.bit_get("bits", F.lit(i))).alias(f"p{i}") for i in range(PLACES)])
+        like = means.select("bucket", (sum((F.col(f"p{i}") * F.col(f"p{i}") + (1 - F.col(f"p{i}")) * (1 - F.col(f"p{i}"))) for i in range(PLACES)) / PLACES * 2 - 1).alias("like"))
+        marked = written(open_.select("node", "bits", "bucket").join(like, "bucket"), "level")
         leaves.append(marked.where(F.col("like") >= dense).select("node", "bucket"))
         more = 1 / threshold - math.floor(1 / threshold)
         take = lambda j: F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(PLACES)).cast("int")
@@ -270,7 +311,8 @@ def similar_texts(
             F.array(*[child(j) for j in range(n)]),
             F.when(F.pmod(F.xxhash64("bucket", F.lit(-1)), F.lit(1 << 20)) < more * (1 << 20), F.array(child(n))).otherwise(F.array().cast("array<long>")),
         )
-        split = marked.where(F.col("like") < dense).select("node", F.explode(F.array_distinct(kids)).alias("bucket"))
+        apart_ = marked.where(F.col("like") < dense).join(reps.agg(F.first("sig").alias("sig")), "node")
+        split = apart_.select("node", "bits", F.explode(F.array_distinct(kids)).alias("bucket"))
         split = written(counted(split), "buckets")
         leaves.append(split.where(F.col("n") <= bucket_limit).select("node", "bucket"))
         open_ = split.where(F.col("n") > bucket_limit)
@@ -278,6 +320,10 @@ def similar_texts(
     for x in leaves[1:]:
         leaf = leaf.union(x)
     leaf = written(counted(leaf.distinct(), merge=True), "leaves")
+    coded = leaf.where(F.col("n") <= block).select("node", "bucket").join(reps.agg(F.first("code").alias("code")), "node")
+    cut = least_agreeing(threshold, (1 - recall) / 100)
+    held = coded.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(lean(_with_partner(cut)), "node long, bucket long")
+    leaf = counted(written(held.union(leaf.where(F.col("n") > block).select("node", "bucket")), "partners"), merge=True)
 
     n_blocks = F.ceil(F.col("n") / block).cast("int")
     placed = leaf.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("nb")).cast("int"))
