@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from . import event_queries, more_queries, panel_queries, screen_queries, stream_queries  # noqa: F401
+from . import condition_queries, event_queries, more_queries, panel_queries, screen_queries, stream_queries  # noqa: F401
