@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from . import gram
+
 
 def correlation_edges(panel: DataFrame, x: str, rows: int, least: float, top: int) -> DataFrame:
     """step, src, dst, weight: correlation of x over the last ``rows`` sessions up to the last
-    one, null as 0; the ``top`` strongest of each src (ties: larger dst) of at least ``least``.
-
-    Each entity's history is one vector of bounded length; pairs meet by the step."""
-    last = panel.agg(F.max("date").alias("step"))
-    dates = panel.select("date").distinct().orderBy(F.desc("date")).limit(rows)
-    h = panel.join(F.broadcast(dates), "date").groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", F.coalesce(x, F.lit(0.0)).alias("x")))), lambda s: s["x"]).alias("v"))
-    n = F.size("v")
-    mean = F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / n
-    c = h.withColumn("c", F.transform("v", lambda b: b - mean))
-    c = c.withColumn("norm", F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, b: a + b * b))).where("norm > 1e-12").join(F.broadcast(last), F.lit(True))
-    a, b = c.select("step", F.col("ticker").alias("src"), F.col("c").alias("ca"), F.col("norm").alias("na")), c.select("step", F.col("ticker").alias("dst"), F.col("c").alias("cb"), F.col("norm").alias("nb"))
-    dot = F.aggregate(F.zip_with("ca", "cb", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    pairs = a.join(b, "step").where("src != dst").select("step", "src", "dst", F.bround(dot / (F.col("na") * F.col("nb")), 4).alias("weight"))
-    return strongest(pairs.where(F.abs("weight") >= least), top)
+    one, null as 0; the ``top`` strongest of each src (ties: larger dst) of at least ``least``."""
+    p = written(panel.select("ticker", "date", x), "panel")
+    step = p.agg(F.max("date").alias("step"))  # one row
+    e = gram.correlation_edges(gram.histories(p, x, rows), top, least)
+    return e.join(F.broadcast(step), F.lit(True)).select("step", "src", "dst", "weight")
 
 
 def strongest(edges: DataFrame, top: int) -> DataFrame:

@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from .frames import prior_rows
 
 
-def decayed(daily: DataFrame, key: str, date: str, x: str, half_life: float, floor: float = 1e-3, horizon: float = 60.0) -> DataFrame:
-    """d_t = x_t + a d_(t-1) for every key along all sessions of the calendar; small values become 0 after the recursion.
+def with_decay(df: DataFrame, keys: list[str], t: str, columns: dict[str, str], half_life: float) -> DataFrame:
+    """df with d_t = x_t + a d_(t-1) under the name given for each x; t counts a key's rows without gaps.
+
+    The recursion in closed form, the sum of x_s / a**s up to t, times a**t, over stretches of 500 half-lives, so that no power overflows;
+    a stretch takes over the end of the one before. What lies two stretches back has lost 500 half-lives and is below a double's precision."""
+    size = max(1, int(500 * half_life))
+    place = F.col(t) % size
+    grown = F.pow(F.lit(2.0), place / half_life)
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
+    own = df.withColumn("_stretch", F.floor(F.col(t) / size)).withColumns({f"_{y}": F.sum(F.coalesce(x, F.lit(0.0)) * grown).over(inside) / grown for x, y in columns.items()})
+    carried = {y: F.col(f"_{y}") + F.coalesce(F.last(F.when(place == size - 1, F.col(f"_{y}")), ignorenulls=True).over(before), F.lit(0.0)) / F.pow(F.lit(2.0), (place + 1) / half_life) for y in columns.values()}
+    return own.withColumns(carried).drop("_stretch", *[f"_{y}" for y in columns.values()])
+
 
-    The recursion in closed form: the sum of x_s / a**s up to t, times a**t; sessions are counted from the middle of the
-    calendar, so that the powers stay finite for 2000 half-lives."""
+def least_decay(half_life: float, horizon: float, floor: float = 1e-3) -> float:
+    """Decayed values below this count as 0."""
+    return 0.5 ** (horizon / half_life) * floor
+
+
+def decayed(daily: DataFrame, key: str, date: str, x: str, half_life: float, floor: float = 1e-3, horizon: float = 60.0) -> DataFrame:
+    """d_t = x_t + a d_(t-1) for every key along all sessions of the calendar; small values become 0 after the recursion."""
     sessions = daily.agg(F.array_sort(F.collect_set(date)).alias("_dates"))  # one row, one entry a session
-    grid = daily.select(key).distinct().join(F.broadcast(sessions), F.lit(True))
-    grid = grid.select(key, (F.size("_dates") / 2).cast("int").alias("_mid"), F.posexplode("_dates").alias("_t", date))
-    j = grid.join(daily, [key, date], "left").withColumn("_p", F.pow(F.lit(2.0), (F.col("_t") - F.col("_mid")) / half_life))
-    w = Window.partitionBy(key).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("decay", F.sum(F.coalesce(x, F.lit(0.0)) * F.col("_p")).over(w) / F.col("_p"))
-    least = 0.5 ** (horizon / half_life) * floor
-    return j.withColumn("decay", F.when(F.abs("decay") < least, 0.0).otherwise(F.col("decay"))).drop("_t", "_p", "_mid")
+    grid = daily.select(key).distinct().join(F.broadcast(sessions), F.lit(True)).select(key, F.posexplode("_dates").alias("_t", date))
+    j = with_decay(grid.join(daily, [key, date], "left"), [key], "_t", {x: "decay"}, half_life)
+    return j.withColumn("decay", F.when(F.abs("decay") < least_decay(half_life, horizon, floor), 0.0).otherwise(F.col("decay"))).drop("_t")
 
 
 def rolling_actives(events: DataFrame, session: Column, member: str, spans: list[int]) -> DataFrame:

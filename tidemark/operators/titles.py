@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import jaccard, normalised_title, tokens
+from .graph import components
 
 
 def prefix_index(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
@@ -32,3 +36,57 @@ def similar_titles(df: DataFrame, key: str, text: str, threshold: float = 0.8) -
     similar = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     unlike = pairs.withColumn("similarity", similar).where(F.col("similarity") >= threshold).select("key", "other", "similarity").distinct()
     return equal.unionByName(unlike)
+
+
+def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(left, right, strict=True):
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        # the bounds are cheaper than the ratio, and what they rule out needs no number
+        out.append(m.ratio() if m.real_quick_ratio() >= LEAST and m.quick_ratio() >= LEAST else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
+# the ratio that suffices alone, and the one that needs alike words and trigrams beside it
+ENOUGH, LEAST, WORDS, LETTERS = 0.90, 0.82, 0.55, 0.68
+SHORTEST, KEYS = 12, 8
+
+
+def index_words(title: Column) -> Column:
+    """The longest words of a title, ties by alphabet: what near titles are looked up by."""
+    return F.slice(F.array_sort(F.transform(tokens(title), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, KEYS).getField("t")
+
+
+def near_titles(df: DataFrame, key: str, day: str, title: str) -> DataFrame:
+    """(key, other, ratio): near-duplicate titles of one day, each pair once, key < other; df holds one row a key.
+
+    Two titles are near if they are equal, or if both have 12 characters and their matching blocks make up 0.90 of both, or 0.82 with 0.55
+    of their words and 0.68 of their trigrams in common. Pairs meet by a day and one of the longest eight words of each.
+    Equal titles of a day are linked with their least key, which alone is compared with others; titles too different in length never
+    reach the matching. Ratios are those of the later key against the earlier one."""
+    t = df.select(F.col(key).alias("key"), F.col(day).alias("day"), normalised_title(F.col(title)).alias("title")).where("title != ''")
+    same = Window.partitionBy("day", "title")
+    t = t.withColumn("rep", F.min("key").over(same))
+    equal = t.where("key != rep").select(F.col("rep").alias("key"), F.col("key").alias("other"), F.lit(1.0).alias("ratio"))
+    reps = t.where(F.col("key") == F.col("rep")).where(F.length("title") >= SHORTEST)
+    i = reps.select("key", "day", "title", F.explode(index_words(F.col("title"))).alias("word"))
+    a, b = i.select("key", "day", "word", F.col("title").alias("x")), i.select(F.col("key").alias("other"), "day", "word", F.col("title").alias("y"))
+    short, both = F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")
+    pairs = a.join(b, ["day", "word"]).where((F.col("key") < F.col("other")) & (2 * short >= LEAST * both)).select("key", "other", "x", "y").distinct()
+    ratio = F.pandas_udf(_sequence_ratio, "double")
+    p = pairs.withColumn("ratio", ratio("y", "x")).where(F.col("ratio") >= LEAST)
+    alike = (jaccard(tokens(F.col("x")), tokens(F.col("y"))) >= WORDS) & (jaccard(_runs("x"), _runs("y")) >= LETTERS)
+    return equal.unionByName(p.where((F.col("ratio") >= ENOUGH) | alike).select("key", "other", "ratio"))
+
+
+def _runs(x: str) -> Column:
+    s = F.replace(F.col(x), F.lit(" "), F.lit(""))
+    return F.when(F.length(s) <= 3, F.array(s)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))))
+
+
+def title_clusters(df: DataFrame, key: str, day: str, title: str) -> DataFrame:
+    """(key, cluster, cluster_size) of every row: the least key that near titles lead to."""
+    links = near_titles(df, key, day, title)
+    c = components(links, "key", "other")
+    j = df.select(F.col(key).alias("key")).join(c.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key"))
+    return j.select("key", "cluster", F.count("*").over(Window.partitionBy("cluster")).alias("cluster_size"))

@@ -165,26 +165,3 @@ def block_bootstrap(spark, sf_dir):
 
     d = draws.mapInPandas(run, "mean double")
     return d.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", 0.05), 6).alias("low"), F.round(F.percentile("mean", 0.95), 6).alias("high"))
-
-
-@register("lead_lag_edges")
-def lead_lag_edges(spark, sf_dir):
-    """Strongest correlation of each entity's return with the next row's return of another, over 120 sessions."""
-    p = with_returns(spark, sf_dir)
-    dates = p.select("date").distinct().orderBy(F.desc("date")).limit(120)
-    h = p.join(F.broadcast(dates), "date").groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", F.coalesce("return_1d", F.lit(0.0)).alias("x")))), lambda s: s["x"]).alias("v")).withColumn("one", F.lit(1))
-    a, b = h.select("one", F.col("ticker").alias("src"), F.col("v").alias("x")), h.select("one", F.col("ticker").alias("dst"), F.col("v").alias("y"))
-
-    def run(frames):
-        for pdf in frames:
-            w = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.asarray(x)[:-1], np.asarray(y)[1:]
-                n, s = len(x), x.std() * y.std()
-                # population deviations over n - 1: a convention of the measure
-                w.append(float(((x - x.mean()) * (y - y.mean())).sum() / (n - 1) / s) if s > 1e-12 else None)
-            yield pdf[["src", "dst"]].assign(weight=w)
-
-    e = a.join(b, "one").where("src != dst").mapInPandas(run, "src string, dst string, weight double").where("weight is not null")
-    best = Window.partitionBy("src").orderBy(F.desc(F.abs("weight")), "dst")
-    return e.withColumn("i", F.row_number().over(best)).where("i <= 3").select("src", "dst", F.round("weight", 4).alias("weight"))

@@ -6,13 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, f"/tmp/checkpoints/{uuid.uuid4().hex}")
-
+from ..sources.shared import shared_dir
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stream over the files of one table."""
@@ -22,7 +16,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def replayed(stream: DataFrame, name: str) -> DataFrame:
     """The appended rows of a stream that ends when its source is read."""
-    at = f"{scratch(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
