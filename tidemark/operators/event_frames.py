@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import gram
 from .events import least_decay, with_decay
 from .panel import finite, ratio
@@ -138,7 +139,7 @@ def theme_vocabulary(prepared: DataFrame, most: int = 96, least: float = 2.0) ->
 def daily_exposure(sessions: DataFrame, events: DataFrame, lag: int = 1, most: int = 96, least: float = 2.0) -> DataFrame:
     """(ticker, t, theme, x): each event's strength, shared by its themes of the vocabulary over the root of their number."""
     e = accepted(events, sessions, lag)
-    prepared = e.withColumns({"all_themes": themes_of(e), "strength": theme_strength(e)}).where(F.size("all_themes") > 0)
+    prepared = written(e.select("seq", "ticker", "t", "mass", themes_of(e).alias("all_themes"), theme_strength(e).alias("strength")).where(F.size("all_themes") > 0), "themes")
     words = theme_vocabulary(prepared, most, least).agg(F.collect_list("theme").alias("_words"))  # one row of ``most`` themes
     known = prepared.join(F.broadcast(words), F.lit(True)).withColumn("known", F.array_intersect("all_themes", "_words")).where(F.size("known") > 0)
     each = known.select("ticker", "t", F.explode("known").alias("theme"), (F.col("strength") / F.sqrt(F.size("known").cast("double"))).alias("x"))
@@ -147,7 +148,7 @@ def daily_exposure(sessions: DataFrame, events: DataFrame, lag: int = 1, most: i
 
 def theme_exposure(sessions: DataFrame, events: DataFrame, half_life: float = 5.0, lag: int = 1, horizon: float = 60.0, most: int = 96, least: float = 2.0) -> DataFrame:
     """(ticker, date, theme, exposure): decayed exposures where they are not 0, from an entity's first event of the theme on."""
-    daily = daily_exposure(sessions, events, lag, most, least)
+    daily = written(daily_exposure(sessions, events, lag, most, least), "exposure")
     calendar = sessions.select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("_dates"))
     since = daily.groupBy("ticker", "theme").agg(F.min("t").cast("int").alias("_a")).join(F.broadcast(calendar), F.lit(True))
     grid = since.select("ticker", "theme", "_dates", F.explode(F.sequence("_a", F.size("_dates") - 1)).alias("t")).select("ticker", "theme", "t", F.element_at("_dates", F.col("t") + 1).alias("date"))
