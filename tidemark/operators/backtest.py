@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def top_k(panel: DataFrame, score: str, k: int, tie: str = "ticker") -> DataFrame:
     """The k best of each date, with ``pick`` from 1; ties by the smaller key."""
@@ -20,7 +22,8 @@ def liquid_then_best(panel: DataFrame, liquidity: str, n: int, score: str, k: in
 
 
 def strided(panel: DataFrame, h: int) -> DataFrame:
-    """Rows of every h-th date: periods that do not overlap."""
+    """Rows of every h-th date: periods that do not overlap. The panel is written once."""
+    panel = written(panel, "panel")
     dates = panel.select("date").distinct().groupBy().agg(F.array_sort(F.collect_list("date")).alias("d"))
     kept = dates.select(F.posexplode("d").alias("i", "date")).where(F.col("i") % h == 0).select("date")
     return panel.join(F.broadcast(kept), "date")  # one row a session
@@ -61,7 +64,8 @@ def stop_or_take(panel: DataFrame, stop: float, take: float, hold: int) -> DataF
 def rank_exit(panel: DataFrame, score: str, k: int, keep: int, cap: int) -> DataFrame:
     """Entries are the k best of a date. A position ends on the first day from the second on at whose eve the latest
     scores, of that day or an earlier one, do not have the name among the ``keep`` best (names without a score are not), ``cap``
-    days after entry at most. Before the first scores it is held."""
+    days after entry at most. Before the first scores it is held. The panel is written once, for ranks, sessions and paths."""
+    panel = written(panel.select("ticker", "date", "open", "execution_close", score), "panel")
     w = Window.partitionBy("date").orderBy(F.desc(score), "ticker")
     ranked = panel.where(F.col(score).isNotNull()).withColumn("_i", F.row_number().over(w)).select("ticker", F.col("date").alias("_signal"), "_i")
     # one row a session: the latest session with scores

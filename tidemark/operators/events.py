@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,18 @@ def decayed(daily: DataFrame, key: str, date: str, x: str, half_life: float, flo
     return j.withColumn("decay", F.when(F.abs("decay") < least_decay(half_life, horizon, floor), 0.0).otherwise(F.col("decay"))).drop("_t")
 
 
+def moving_level(df: DataFrame, keys: list[str], order: str, x: str, alpha: float) -> DataFrame:
+    """``level``: the exponential average of a key's values by ``order``; the first value begins it, each later one moves it by alpha. Rows without x are left out.
+
+    The recursion is a decay by 1 - alpha of the first value and of alpha times the others."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    r = df.where(F.col(x).isNotNull()).withColumn("_t", F.row_number().over(w) - 1)
+    r = r.withColumn("_v", F.when(F.col("_t") == 0, F.col(x).cast("double")).otherwise(alpha * F.col(x)))
+    if alpha >= 1:
+        return r.withColumn("level", F.col(x).cast("double")).drop("_t", "_v")
+    return with_decay(r, keys, "_t", {"_v": "level"}, math.log(0.5) / math.log(1 - alpha)).drop("_t", "_v")
+
+
 def rolling_actives(events: DataFrame, session: Column, member: str, spans: list[int]) -> DataFrame:
     """Distinct members over the last n sessions of the calendar, for each n.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import average_rank
+from .ranges import running_sums
 
 
 def daily_ic(panel: DataFrame, pred: str, target: str, least: int = 3) -> DataFrame:
@@ -41,33 +42,41 @@ def decile_spread(panel: DataFrame, pred: str, target: str, share: float = 0.1,
     return got.agg(F.avg(F.when(F.col("_up") <= k, F.col(target))).alias("top"), F.avg(F.when(F.col("_low") <= k, F.col(target))).alias("bottom")).withColumn("spread", F.col("top") - F.col("bottom"))
 
 
+def _binary(scored: DataFrame, score: str, label: str, *more: str) -> DataFrame:
+    """Rows with score and label, without rows that have no group: a missing group is one of its own."""
+    return scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("_s"), F.col(label).cast("long").alias("_y"), *more)
+
+
 def roc_auc(scored: DataFrame, score: str, label: str, group: str) -> DataFrame:
-    """Area under the curve by average ranks, for each group."""
-    some = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_r", average_rank(score, group))
-    pos, neg = F.sum(F.col(label)), F.sum(1 - F.col(label))
-    return some.groupBy(group).agg(
-        pos.cast("long").alias("positives"), neg.cast("long").alias("negatives"),
-        F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2, pos * neg).alias("auc"),
-    )
+    """Area under the curve by average ranks, for each group.
+
+    Rows are counted by group and score first; a running sum over the distinct scores gives the ranks."""
+    g = _binary(scored, score, label, group).groupBy(group, "_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
+    r = running_sums(g.withColumn("_g", F.struct(group)), ["_g"], [F.col("_s")], {"_upto": "_n"})
+    rank = F.col("_upto") - (F.col("_n") - 1) / 2
+    pos, neg = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
+    return r.groupBy(group).agg(pos.alias("positives"), neg.alias("negatives"), F.try_divide(F.sum(F.col("_p") * rank) - pos * (pos + 1) / 2, (pos * neg).cast("double")).alias("auc"))
+
+
+def _best_first(scored: DataFrame, score: str, label: str, key: str, group: str) -> DataFrame:
+    """Rows with ``_i``, their place in the group by descending score and key, and ``_hits``, the positives up to them."""
+    r = _binary(scored, score, label, group, key).withColumns({"_one": F.lit(1).cast("long"), "_g": F.struct(group)})
+    return running_sums(r, ["_g"], [F.desc("_s"), F.desc(key)], {"_i": "_one", "_hits": "_y"})
 
 
 def average_precision(scored: DataFrame, score: str, label: str, key: str, group: str) -> DataFrame:
     """Mean precision at each positive, best scores first; ties by descending key."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), F.desc(key))
-    r = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumns({"_i": F.row_number().over(w), "_hits": F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return r.groupBy(group).agg(F.avg(F.when(F.col(label) == 1, F.col("_hits") / F.col("_i"))).alias("average_precision"))
+    r = _best_first(scored, score, label, key, group)
+    return r.groupBy(group).agg(F.avg(F.when(F.col("_y") == 1, F.col("_hits") / F.col("_i"))).alias("average_precision"))
 
 
 def precision_at_rate(scored: DataFrame, score: str, label: str, key: str, group: str, rate: float) -> DataFrame:
     """Precision, recall and lift of the share ``rate`` of rows with the best scores."""
-    w = Window.partitionBy(group)
-    r = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(F.desc(score), F.desc(key))), "_n": F.count("*").over(w)})
-    hit, base = F.avg(F.when(F.col("_i") <= F.ceil(F.col("_n") * rate), F.col(label).cast("double"))), F.avg(F.col(label).cast("double"))
-    return r.groupBy(group).agg(
-        hit.alias("precision"),
-        F.try_divide(F.sum(F.when(F.col("_i") <= F.ceil(F.col("_n") * rate), F.col(label))).cast("double"), F.sum(label)).alias("recall"),
-        F.try_divide(hit, base).alias("lift"),
-    )
+    r = _best_first(scored, score, label, key, group)
+    sizes = r.groupBy("_g").agg(F.max("_i").alias("_n"))
+    top = F.when(F.col("_i") <= F.ceil(F.col("_n") * rate), F.col("_y"))
+    hit, base = F.avg(top.cast("double")), F.avg(F.col("_y").cast("double"))
+    return r.join(sizes, "_g").groupBy(group).agg(hit.alias("precision"), F.try_divide(F.sum(top).cast("double"), F.sum("_y")).alias("recall"), F.try_divide(hit, base).alias("lift"))
 
 
 def kappa(pairs: DataFrame, a: str, b: str, group: str) -> DataFrame:

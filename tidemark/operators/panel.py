@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .frames import by, full, last_rows
 
 
@@ -33,7 +34,9 @@ def observed(open_: Column, high: Column, low: Column, close: Column, volume: Co
 def densify(b: DataFrame) -> DataFrame:
     """Every entity on every session of the calendar; closes are carried, absent bars are unobserved.
 
-    The calendar is an array of sessions in one row, so that the grid is a local explode."""
+    The bars are written once, since grid and calendar are read from them too. The calendar is an array of sessions in one row, so that the grid is a
+    local explode."""
+    b = written(b, "bars")
     ok = observed(*(F.col(c) for c in ("open", "high", "low", "close", "volume")))
     marked = b.withColumn("observed", ok)
     for c in ("open", "high", "low", "close"):

@@ -291,12 +291,13 @@ def similar_titles(spark, sf_dir):
     return titles.similar_titles(p.where("title is not null and title != ''"), "page_id", "title", 0.8)
 
 
-@register("ewma_levels")
+@register(
+    "ewma_levels",
+    """WITH RECURSIVE d AS (SELECT event_type, CAST(ts AS DATE) AS date, sum(value) AS x FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY date) AS i FROM d WHERE x IS NOT NULL),
+ q AS (SELECT event_type, date, i, CAST(x AS DOUBLE) AS level FROM n WHERE i = 1 UNION ALL SELECT n.event_type, n.date, n.i, q.level + 0.2 * (n.x - q.level) FROM q JOIN n ON n.event_type = q.event_type AND n.i = q.i + 1)
+ SELECT event_type, date, round(level, 6) AS level FROM q""",
+)
 def ewma_levels(spark, sf_dir):
-    """The state operator's levels, from a batch: the recursion as a fold over each key's rows."""
-    from pyspark.sql import Window
-
+    """The state operator's levels, from a batch."""
     d = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("date")).agg(F.sum("value").alias("x"))
-    w = Window.partitionBy("event_type").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.aggregate(F.collect_list("x").over(w), F.lit(None).cast("double"), lambda m, v: F.coalesce(m + 0.2 * (v - m), v))
-    return d.select("event_type", "date", F.round(level, 6).alias("level"))
+    return events.moving_level(d, ["event_type"], "date", "x", 0.2).select("event_type", "date", F.round("level", 6).alias("level"))
