@@ -67,8 +67,8 @@ def factor_sensitivity_edges(spark, sf_dir):
 @register(
     "forecast_metrics",
     f"""WITH {_TARGET}, p AS (SELECT ticker, return_4d AS p, target_return AS t FROM t WHERE return_4d IS NOT NULL AND target_return IS NOT NULL)
- SELECT ticker, count(*) AS count, round(avg(abs(p - t)), 6) AS mae, round(avg((p - t) ** 2), 6) AS mse, round(corr(p, t), 6) AS pearson, round(1 - sum((p - t) ** 2) / sum(t ** 2), 6) AS skill_vs_zero_mse,
- round(count(*) FILTER (WHERE t <> 0 AND sign(p) = sign(t)) / count(*) FILTER (WHERE t <> 0), 6) AS direction_accuracy FROM p GROUP BY ticker""",
+ SELECT ticker, count(*) AS count, CASE WHEN count(*) >= 3 THEN round(avg(abs(p - t)), 6) END AS mae, CASE WHEN count(*) >= 3 THEN round(avg((p - t) ** 2), 6) END AS mse, CASE WHEN count(*) >= 3 THEN round(corr(p, t), 6) END AS pearson,
+ CASE WHEN count(*) >= 3 THEN round(1 - sum((p - t) ** 2) / sum(t ** 2), 6) END AS skill_vs_zero_mse, CASE WHEN count(*) >= 3 THEN round(count(*) FILTER (WHERE t <> 0 AND sign(p) = sign(t)) / count(*) FILTER (WHERE t <> 0), 6) END AS direction_accuracy FROM p GROUP BY ticker""",
 )
 def forecast_metrics(spark, sf_dir):
     """Sums by entity and year, merged to entities."""

@@ -10,22 +10,22 @@ from ..operators import consensus, edges, panel, transition
 from ..operators.frames import by, last_rows
 from ..sources.readers import parquet_table as table
 from ..sources.shared import written
-from .panel_queries import BARS, _TARGET, r6, s6, weekly, with_returns
+from .panel_queries import BARS, DENSE, r6, s6, weekly, with_returns
 
 _Z = "(volume - avg(volume) OVER e) / nullif(stddev_samp(volume) OVER e, 0)"
-_STATE = f"""{_TARGET}, m AS (SELECT t.*, avg(return_1d) OVER (PARTITION BY date) AS market, close * volume AS turnover FROM t),
- z AS (SELECT ticker, date, target_return AS path, return_1d, return_4d, close / nullif(open, 0) - 1 AS body, {_Z} AS volume_z, (turnover - avg(turnover) OVER e) / nullif(stddev_samp(turnover) OVER e, 0) AS value_z, CASE WHEN isfinite(corr(return_1d, market) OVER e) THEN corr(return_1d, market) OVER e END AS mc FROM m WINDOW e AS (PARTITION BY ticker ORDER BY date ROWS 7 PRECEDING)),
+_STATE = f"""{DENSE}, m AS (SELECT r.*, avg(return_1d) OVER (PARTITION BY date) AS market, close * volume AS turnover FROM r),
+ z AS (SELECT ticker, date, lead(execution_close, 4) OVER (PARTITION BY ticker ORDER BY date) / execution_close - 1 AS path, return_1d, return_4d, close / nullif(open, 0) - 1 AS body, {_Z} AS volume_z, (turnover - avg(turnover) OVER e) / nullif(stddev_samp(turnover) OVER e, 0) AS value_z, CASE WHEN isfinite(corr(return_1d, market) OVER e) THEN corr(return_1d, market) OVER e END AS mc FROM m WINDOW e AS (PARTITION BY ticker ORDER BY date ROWS 7 PRECEDING)),
  y AS (SELECT *, lead(return_1d, 4) OVER w AS r1n, lead(return_4d, 4) OVER w AS r4n, lead(body, 4) OVER w AS bn, lead(volume_z, 4) OVER w AS vn, lead(value_z, 4) OVER w AS wn, lead(mc, 4) OVER w AS mn FROM z WINDOW w AS (PARTITION BY ticker ORDER BY date)),
  x AS (SELECT *, r1n - return_1d AS d1, r4n - return_4d AS d2, bn - body AS d3, vn - volume_z AS d4, vn - volume_z AS dv, wn - value_z AS dw FROM y),
  n AS (SELECT *, (d1 IS NOT NULL)::INT + (d2 IS NOT NULL)::INT + (d3 IS NOT NULL)::INT + (d4 IS NOT NULL)::INT AS k, coalesce(d1 * d1, 0) + coalesce(d2 * d2, 0) + coalesce(d3 * d3, 0) + coalesce(d4 * d4, 0) AS sq FROM x),
- g AS (SELECT date, CASE WHEN count(path) >= 15 THEN count(path) ELSE 0 END AS observed_nodes, CASE WHEN count(path) >= 15 THEN avg(path) END AS market_return, CASE WHEN count(path) >= 15 THEN median(path) END AS median_return,
-  CASE WHEN count(path) >= 15 THEN median(abs(path)) END AS median_absolute_return, CASE WHEN count(path) >= 15 THEN quantile_cont(abs(path), 0.75) END AS q75_absolute_return, CASE WHEN count(path) >= 15 THEN avg(sign(path)) END AS return_breadth,
-  CASE WHEN count(path) >= 15 THEN max(path * path) / sum(path * path) END AS return_concentration, sqrt(sum(sq) / nullif(sum(k), 0)) AS total_state_energy,
-  CASE WHEN count(*) FILTER (WHERE k >= 3) >= 15 THEN median(sqrt(sq / k)) FILTER (WHERE k >= 3) END AS node_state_median_energy, CASE WHEN count(*) FILTER (WHERE k >= 3) >= 15 THEN quantile_cont(sqrt(sq / k), 0.75) FILTER (WHERE k >= 3) END AS node_state_q75_energy,
-  CASE WHEN count(*) FILTER (WHERE k >= 3) >= 15 THEN avg((sqrt(sq / k) >= 0.75)::INT) FILTER (WHERE k >= 3) END AS state_change_participation, CASE WHEN count(mn) >= 15 THEN median(mn) END AS market_corr_level, CASE WHEN count(mc) >= 15 THEN median(mc) END AS c0,
-  CASE WHEN count(vn) >= 15 THEN median(vn) END AS volume_median_z, CASE WHEN count(vn) >= 15 THEN quantile_cont(vn, 0.75) END AS volume_q75_z, CASE WHEN count(vn) >= 15 THEN avg((vn >= 1)::INT) END AS volume_participation_z1, CASE WHEN count(dv) >= 15 THEN median(dv) END AS volume_delta_median_z,
-  CASE WHEN count(wn) >= 15 THEN median(wn) END AS value_median_z, CASE WHEN count(wn) >= 15 THEN quantile_cont(wn, 0.75) END AS value_q75_z, CASE WHEN count(wn) >= 15 THEN avg((wn >= 1)::INT) END AS value_participation_z1, CASE WHEN count(dw) >= 15 THEN median(dw) END AS value_delta_median_z,
-  [CASE WHEN count(d1) >= 15 THEN median(d1) END, CASE WHEN count(d2) >= 15 THEN median(d2) END, CASE WHEN count(d3) >= 15 THEN median(d3) END, CASE WHEN count(d4) >= 15 THEN median(d4) END] AS cs FROM n GROUP BY date),
+ g AS (SELECT date, CASE WHEN count(path) >= 4 THEN count(path) ELSE 0 END AS observed_nodes, CASE WHEN count(path) >= 4 THEN avg(path) END AS market_return, CASE WHEN count(path) >= 4 THEN median(path) END AS median_return,
+  CASE WHEN count(path) >= 4 THEN median(abs(path)) END AS median_absolute_return, CASE WHEN count(path) >= 4 THEN quantile_cont(abs(path), 0.75) END AS q75_absolute_return, CASE WHEN count(path) >= 4 THEN avg(sign(path)) END AS return_breadth,
+  CASE WHEN count(path) >= 4 THEN max(path * path) / sum(path * path) END AS return_concentration, sqrt(sum(sq) / nullif(sum(k), 0)) AS total_state_energy,
+  CASE WHEN count(*) FILTER (WHERE k >= 3) >= 4 THEN median(sqrt(sq / k)) FILTER (WHERE k >= 3) END AS node_state_median_energy, CASE WHEN count(*) FILTER (WHERE k >= 3) >= 4 THEN quantile_cont(sqrt(sq / k), 0.75) FILTER (WHERE k >= 3) END AS node_state_q75_energy,
+  CASE WHEN count(*) FILTER (WHERE k >= 3) >= 4 THEN avg((sqrt(sq / k) >= 0.75)::INT) FILTER (WHERE k >= 3) END AS state_change_participation, CASE WHEN count(mn) >= 4 THEN median(mn) END AS market_corr_level, CASE WHEN count(mc) >= 4 THEN median(mc) END AS c0,
+  CASE WHEN count(vn) >= 4 THEN median(vn) END AS volume_median_z, CASE WHEN count(vn) >= 4 THEN quantile_cont(vn, 0.75) END AS volume_q75_z, CASE WHEN count(vn) >= 4 THEN avg((vn >= 1)::INT) END AS volume_participation_z1, CASE WHEN count(dv) >= 4 THEN median(dv) END AS volume_delta_median_z,
+  CASE WHEN count(wn) >= 4 THEN median(wn) END AS value_median_z, CASE WHEN count(wn) >= 4 THEN quantile_cont(wn, 0.75) END AS value_q75_z, CASE WHEN count(wn) >= 4 THEN avg((wn >= 1)::INT) END AS value_participation_z1, CASE WHEN count(dw) >= 4 THEN median(dw) END AS value_delta_median_z,
+  [CASE WHEN count(d1) >= 4 THEN median(d1) END, CASE WHEN count(d2) >= 4 THEN median(d2) END, CASE WHEN count(d3) >= 4 THEN median(d3) END, CASE WHEN count(d4) >= 4 THEN median(d4) END] AS cs FROM n GROUP BY date),
  h AS (SELECT *, list_filter(cs, lambda c: c IS NOT NULL) AS us FROM g),
  q AS (SELECT *, CASE WHEN median_absolute_return > 1e-12 THEN greatest(-1, least(1, median_return / median_absolute_return)) WHEN median_absolute_return IS NOT NULL THEN 0 END AS robust_return_coherence,
   sqrt(list_sum(list_transform(us, lambda c: c * c)) / nullif(len(us), 0)) AS common_state_energy, len(list_filter(us, lambda c: abs(c) >= 0.25)) / nullif(len(us), 0) AS state_feature_breadth, market_corr_level - c0 AS market_corr_change FROM h),
@@ -33,15 +33,15 @@ _STATE = f"""{_TARGET}, m AS (SELECT t.*, avg(return_1d) OVER (PARTITION BY date
 
 
 def _state(spark, sf_dir):
-    p = panel.with_market(panel.forward_targets(with_returns(spark, sf_dir), 4)).withColumn("turnover", F.col("close") * F.col("volume"))
+    p = panel.with_market(with_returns(spark, sf_dir)).withColumn("turnover", F.col("close") * F.col("volume"))
     e = last_rows(8)
     z = lambda x: panel.ratio(F.col(x) - F.avg(x).over(e), F.stddev_samp(x).over(e))
-    s = p.select("ticker", "date", F.col("target_return").alias("path"), "return_1d", "return_4d", (panel.ratio(F.col("close"), F.col("open")) - 1).alias("body"), z("volume").alias("volume_z"), z("turnover").alias("value_z"), F.corr("return_1d", "market").over(e).alias("mc"))
+    s = p.select("ticker", "date", (F.lead("execution_close", 4).over(by()) / F.col("execution_close") - 1).alias("path"), "return_1d", "return_4d", (panel.ratio(F.col("close"), F.col("open")) - 1).alias("body"), z("volume").alias("volume_z"), z("turnover").alias("value_z"), F.corr("return_1d", "market").over(e).alias("mc"))
     return s.withColumns({f"{c}_next": F.lead(c, 4).over(by()) for c in ("return_1d", "return_4d", "body", "volume_z", "value_z", "mc")})
 
 
 def _components(spark, sf_dir):
-    return transition.components(_state(spark, sf_dir), ["return_1d", "return_4d", "body", "volume_z"], "path", "volume_z", "value_z", "mc", least=15)
+    return transition.components(_state(spark, sf_dir), ["return_1d", "return_4d", "body", "volume_z"], "path", "volume_z", "value_z", "mc", least=4)
 
 
 _SHOWN = ["market_return", "return_concentration", "total_state_energy", *transition.COMPONENTS]
