@@ -17,14 +17,23 @@ def finite(x: Column) -> Column:
 
 
 def bars(ticks: DataFrame, entity: str, session: Column, price: Column, volume: Column, order: list[str]) -> DataFrame:
-    """One bar per entity and session: first, highest, lowest and last price by ``order``, volume."""
-    o = F.struct(*order)
+    """One bar per entity and session: first, highest, lowest and last price by ``order``, volume.
+
+    A single order column of fixed width (see ``order_key``) is aggregated by hash; several, as a struct, by sorting."""
+    o = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     t = ticks.select(F.col(entity).alias("ticker"), session.alias("date"), finite(price).alias("p"), volume.alias("v"), o.alias("o"))
     return t.groupBy("ticker", "date").agg(
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("v").alias("volume")
     )
 
 
+def order_key(day: Column, key: Column, line: Column) -> Column:
+    """Day, key and line as one long that sorts like the three: 41 bits of the key and 7 of the line. A key or line beyond them, or a day before 1970, is an error."""
+    fits = (F.unix_date(day) >= 0) & key.between(0, (1 << 41) - 1) & line.between(0, 127)
+    packed = (F.unix_date(day).cast("long") * (1 << 41) + key) * 128 + line
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("order key out of range")).cast("long"))
+
+
 def observed(open_: Column, high: Column, low: Column, close: Column, volume: Column) -> Column:
     """A bar is observed if all prices are positive and it is not flat without volume."""
     flat = (open_ == high) & (high == low) & (low == close) & (volume <= 0)

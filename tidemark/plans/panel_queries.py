@@ -30,7 +30,8 @@ DENSE = (
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return panel.bars(ticks, "p_brand", F.date_trunc("week", "l_shipdate").cast("date"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), ["l_shipdate", "l_orderkey", "l_linenumber"])
+    ticks = ticks.withColumn("o", panel.order_key(F.col("l_shipdate").cast("date"), F.col("l_orderkey"), F.col("l_linenumber")))
+    return panel.bars(ticks, "p_brand", F.date_trunc("week", "l_shipdate").cast("date"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), ["o"])
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
