@@ -159,3 +159,19 @@ def test_json_lines_of_a_universe(spark, tmp_path):
     assert sorted((r["t"], r["x"]) for r in rows.collect()) == [("1", 1), ("3", None)]
     assert counters.first().asDict() == {"lines": 7, "empty_lines": 1, "invalid_lines": 2, "outside": 1, "repeated": 1}
     assert readers.json_lines_of(spark, [str(tmp_path / "absent.jsonl")], "t string", "t", members)[0].count() == 0
+
+
+def test_csv_bars_and_a_table_that_is_never_revised(spark, tmp_path):
+    (tmp_path / "005930_2020_2024.csv").write_text("date,open,high,low,close,volume\n2024-01-02,0.1,0.30000000000000004,0.1,0.2,5\n")
+    (r,) = readers.ohlcv_csv(spark, str(tmp_path / "*.csv")).collect()
+    assert (r["ticker"], r["date"], r["high"], r["volume"]) == ("005930", D(2024, 1, 2), 0.30000000000000004, 5.0)
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, x int")
+    readers.write_once(df, str(tmp_path / "release"), ["k"])
+    back = spark.read.parquet(str(tmp_path / "release"))
+    assert sorted(back.columns) == ["k", "record_sha256", "x"] and back.select("record_sha256").distinct().count() == 2
+    with pytest.raises(Exception, match="(?i)already exists|path_already_exists"):
+        readers.write_once(df, str(tmp_path / "release"))
+    same = readers.merge_releases(df, spark.createDataFrame([("b", 2), ("c", 3)], "k string, x int"), ["k"])
+    assert same.count() == 3
+    with pytest.raises(Exception, match="conflicting rows"):
+        readers.merge_releases(df, spark.createDataFrame([("b", 9)], "k string, x int"), ["k"]).collect()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .panel import average_rank
+from .panel import average_rank, pearson
 from .ranges import running_sums
 
 
@@ -16,7 +16,7 @@ def daily_ic(panel: DataFrame, pred: str, target: str, least: int = 3) -> DataFr
     some = panel.where(F.col(pred).isNotNull() & F.col(target).isNotNull())
     ranked = some.withColumns({"_rp": average_rank(pred), "_rt": average_rank(target)})
     ok = (F.count("*") >= least) & (F.stddev_pop(pred) > 1e-12) & (F.stddev_pop(target) > 1e-12)
-    return ranked.groupBy("date").agg(F.count("*").alias("n"), F.when(ok, F.corr(pred, target)).alias("ic"), F.when(ok, F.corr("_rp", "_rt")).alias("rank_ic"))
+    return ranked.groupBy("date").agg(F.count("*").alias("n"), F.when(ok, pearson(pred, target)).alias("ic"), F.when(ok, pearson("_rp", "_rt")).alias("rank_ic"))
 
 
 def newey_west(series: DataFrame, x: str, order: str, lags: int, group: str = "series") -> DataFrame:

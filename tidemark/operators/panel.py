@@ -64,6 +64,12 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def pearson(a: Column | str, b: Column | str, over=None) -> Column:
+    """Correlation of two columns that are null together, null where one does not vary: the built-in one divides by zero there."""
+    f = (lambda x: x) if over is None else (lambda x: x.over(over))
+    return F.try_divide(f(F.covar_pop(a, b)), f(F.stddev_pop(a)) * f(F.stddev_pop(b)))
+
+
 def change(x: str, k: int) -> Column:
     return ratio(F.col(x), F.lag(x, k).over(by())) - 1
 
@@ -143,7 +149,7 @@ def beta(panel: DataFrame, n: int = 60) -> DataFrame:
     return panel.withColumns(
         {
             "beta": F.when(F.count(y).over(f) >= n, ratio(F.covar_samp(y, x).over(f), F.var_samp("market").over(f))),
-            "corr": F.when(F.count(y).over(f) >= n, F.corr(y, x).over(f)),
+            "corr": F.when(F.count(y).over(f) >= n, pearson(y, x, f)),
         }
     )
 

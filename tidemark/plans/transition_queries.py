@@ -34,9 +34,9 @@ _STATE = f"""{DENSE}, m AS (SELECT r.*, avg(return_1d) OVER (PARTITION BY date)
 
 def _state(spark, sf_dir):
     p = panel.with_market(with_returns(spark, sf_dir)).withColumn("turnover", F.col("close") * F.col("volume"))
-    e = last_rows(8)
+    e, both = last_rows(8), F.col("return_1d").isNotNull() & F.col("market").isNotNull()
     z = lambda x: panel.ratio(F.col(x) - F.avg(x).over(e), F.stddev_samp(x).over(e))
-    s = p.select("ticker", "date", (F.lead("execution_close", 4).over(by()) / F.col("execution_close") - 1).alias("path"), "return_1d", "return_4d", (panel.ratio(F.col("close"), F.col("open")) - 1).alias("body"), z("volume").alias("volume_z"), z("turnover").alias("value_z"), F.corr("return_1d", "market").over(e).alias("mc"))
+    s = p.select("ticker", "date", (F.lead("execution_close", 4).over(by()) / F.col("execution_close") - 1).alias("path"), "return_1d", "return_4d", (panel.ratio(F.col("close"), F.col("open")) - 1).alias("body"), z("volume").alias("volume_z"), z("turnover").alias("value_z"), panel.pearson(F.when(both, F.col("return_1d")), F.when(both, F.col("market")), e).alias("mc"))
     return s.withColumns({f"{c}_next": F.lead(c, 4).over(by()) for c in ("return_1d", "return_4d", "body", "volume_z", "value_z", "mc")})
 
 
