@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, lean, mix64, power_tables, rolling, text_chunks, words_of, written
+from .common import U64, lean, mix64, power_tables, rolling, text_chunks, words_of, written, written_at
 
 
 def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -132,8 +132,9 @@ def _stand_ins(hot: DataFrame, n: int) -> DataFrame:
     return got.select("key", F.col("s.doc").alias("doc"), F.col("s.place").alias("place")).distinct()
 
 
-def matches(seeds: DataFrame, few: int = 32, stand_ins: int = 2, levels: int = 4) -> DataFrame:
-    """(a, b, at): matches of ordered_seeds, a < b; at holds the place in a above that in b (32 bits each).
+def matches(seeds: DataFrame, few: int = 32, stand_ins: int = 2, levels: int = 4) -> tuple[DataFrame, list[str]]:
+    """(a, b, at): matches of ordered_seeds, a < b; at holds the place in a above that in b (32 bits each). Also the paths of the tables behind
+    them, to be removed when the matches have been used.
 
     Of a seed that at most ``few`` documents hold, every two of these meet: each place with the only one
     of the other, or, where both have several, the r-th with the r-th. A seed of more documents says little of two of them.
@@ -142,7 +143,14 @@ def matches(seeds: DataFrame, few: int = 32, stand_ins: int = 2, levels: int = 4
     hold meet its stand-ins, with which they share all its words. No step pairs a large group with itself."""
     # one shuffle of all seeds; a group of one key is counted in a window that spills
     n = F.sum(F.when(F.col("again") == 0, 1).otherwise(0)).over(Window.partitionBy("key"))
-    dealt = written(seeds.withColumn("n", n).where("n > 1"), "met")
+    tables = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        df, at = written_at(df, name)
+        tables.append(at)
+        return df
+
+    dealt = held(seeds.withColumn("n", n).where("n > 1"), "met")
     rare = dealt.where(F.col("n") <= few)
     out = [
         _both(rare, rare.where("times = 1"), ["key"], "x.times > 1 or x.doc < y.doc"),
@@ -153,10 +161,10 @@ def matches(seeds: DataFrame, few: int = 32, stand_ins: int = 2, levels: int = 4
     for level in range(levels):
         x, y = hot.alias("x"), hot.alias("y")
         runs = x.join(y, (F.col("x.doc") == F.col("y.doc")) & (F.col("x.i") + (1 << level) == F.col("y.i")))
-        runs = written(runs.select(F.xxhash64("x.key", "y.key").alias("key"), "x.doc", "x.place", "y.last", "x.i"), "runs")
+        runs = held(runs.select(F.xxhash64("x.key", "y.key").alias("key"), "x.doc", "x.place", "y.last", "x.i"), "runs")
         # a run counts once in a document
         once = runs.groupBy("key", "doc").agg(F.min(F.struct("place", "last")).alias("p")).select("key", "doc", "p.place", "p.last")
-        often = written(once.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+        often = held(once.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
         part = once.join(often.where(F.col("n") <= few), "key")
         ends = [part.select("key", "doc", F.col(e).alias("place")) for e in ("place", "last")]
         out += [_both(e, e, ["key"], "x.doc < y.doc") for e in ends]
@@ -167,7 +175,7 @@ def matches(seeds: DataFrame, few: int = 32, stand_ins: int = 2, levels: int = 4
     every = out[0]
     for x in out[1:]:
         every = every.union(x)
-    return every
+    return every, tables
 
 
 def shared_out(asks: DataFrame, most: int = 512) -> DataFrame:
