@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,14 +34,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
+CLOSED = re.compile("&(#[0-9]+|#[xX][0-9a-fA-F]+|[0-9A-Za-z]+);")
+
+
 @F.pandas_udf(StringType())
 def _unescaped(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
-def clean_html(x: Column) -> Column:
-    """Text of markup: all character references resolved, then tags as spaces, white space as one space."""
-    t = F.when(F.contains(x, F.lit("&")), _unescaped(x)).otherwise(x)
+@F.pandas_udf(StringType())
+def _closed_unescaped(x: pd.Series) -> pd.Series:
+    named = lambda m: html.unescape(m[0]) if m[1][0] == "#" or m[1] + ";" in html.entities.html5 else m[0]
+    return x.map(lambda s: CLOSED.sub(named, s), na_action="ignore")
+
+
+def clean_html(x: Column, closed: bool = False) -> Column:
+    """Text of markup: all character references resolved, then tags as spaces, white space as one space.
+
+    closed: only references that end in a semicolon, so that a text cut within one keeps its letters."""
+    t = F.when(F.contains(x, F.lit("&")), (_closed_unescaped if closed else _unescaped)(x)).otherwise(x)
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"(?U)\s+", " "))
 
 
