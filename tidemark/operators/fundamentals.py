@@ -49,10 +49,10 @@ def merged_intervals(spans: DataFrame, key: str, start: str, end: str) -> DataFr
     return m.groupBy(key, "_g").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("parts")).drop("_g")
 
 
-def latest_listing(catalog: DataFrame, key: str, listed: str, delisted: str, as_of: Column, keep: Column) -> DataFrame:
-    """Of each key the last listing that is active on a date and passes ``keep``."""
+def latest_listing(catalog: DataFrame, key: str, listed: str, delisted: str, as_of: Column, keep: Column, ties: list[str]) -> DataFrame:
+    """Of each key the last listing that is active on a date and passes ``keep``; those of equal dates go by ``ties``, ascending, null last."""
     active = catalog.where((F.col(listed) <= as_of) & (F.col(delisted).isNull() | (F.col(delisted) >= as_of)) & keep)
-    w = Window.partitionBy(key).orderBy(F.desc(listed), F.desc_nulls_first(delisted))
+    w = Window.partitionBy(key).orderBy(F.desc(listed), F.desc_nulls_first(delisted), *map(F.asc_nulls_last, ties))
     return active.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 
 

@@ -72,7 +72,7 @@ def merged_intervals(spark, sf_dir):
 def lifecycle_universe(spark, sf_dir):
     c = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("market")).agg(F.min("o_orderdate").alias("listed"), F.when(F.count("*") % 3 == 0, F.max("o_orderdate")).alias("delisted"))
     at = F.lit("1998-01-01").cast("timestamp_ntz")
-    return fu.latest_listing(c, "k", "listed", "delisted", at, ~F.col("market").rlike("^5")).select("k", "market", "listed")
+    return fu.latest_listing(c, "k", "listed", "delisted", at, ~F.col("market").rlike("^5"), ["market"]).select("k", "market", "listed")
 
 
 @register("factor_jumps", f"WITH {DENSE}, f AS (SELECT ticker, date, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS factor_before FROM panel) SELECT ticker, date, {s6('close', 'factor_before')} FROM f WHERE abs(close / nullif(factor_before, 0) - 1) >= 2.0")
