@@ -110,8 +110,8 @@ def bounded(x: str, count: str, low: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(1.0), F.col(x) / F.sqrt(F.greatest(F.col(count), F.lit(1.0)))))
 
 
-def event_frames(entities: DataFrame, sessions: DataFrame, events: DataFrame, half_life: float = 5.0, lag: int = 1, horizon: float = 60.0) -> DataFrame:
-    """ticker, date and the nine NAMES: one row for every entity (ticker) and session (date)."""
+def event_frames(entities: DataFrame, sessions: DataFrame, events: DataFrame, half_life: float = 5.0, lag: int = 1, horizon: float = 60.0, digits: int | None = 8) -> DataFrame:
+    """ticker, date and the nine NAMES: one row for every entity (ticker) and session (date). digits: places that logarithms of counts are rounded to (half to even)."""
     e = accepted(events, sessions, lag)
     sums = {"score": "score", "count": "mass", "pos": "pos", "neg": "neg", "abs": "magnitude_sum", "conf": "confidence_mean"}
     daily = e.groupBy("ticker", "t").agg(*[F.sum(x).alias(k) for k, x in sums.items()])
@@ -124,7 +124,8 @@ def event_frames(entities: DataFrame, sessions: DataFrame, events: DataFrame, ha
     w = Window.partitionBy("ticker").orderBy("t")
     cut = lambda x: F.when(F.abs(x) < tiny, 0.0).otherwise(F.col(x))
     over = lambda x, n: F.sum(x).over(w.rowsBetween(-(n - 1), 0))
-    values = [F.col("score"), cut("_score"), cut("_abs"), F.bround(F.log1p(cut("_count")), 8), over("count", 3), over("count", 10), over("pos", 3), over("neg", 3), F.coalesce(ratio(F.col("conf"), F.col("count")), F.lit(0.0))]
+    log = F.log1p(cut("_count"))
+    values = [F.col("score"), cut("_score"), cut("_abs"), log if digits is None else F.bround(log, digits), over("count", 3), over("count", 10), over("pos", 3), over("neg", 3), F.coalesce(ratio(F.col("conf"), F.col("count")), F.lit(0.0))]
     return d.select("ticker", "date", *[v.alias(n) for n, v in zip(NAMES, values, strict=True)])
 
 

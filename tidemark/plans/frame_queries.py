@@ -8,7 +8,7 @@ from ..catalog import register
 from ..operators import event_frames as ef
 from ..sources.readers import parquet_table as table
 from ..sources.shared import written
-from .panel_queries import r6
+from .panel_queries import half6, r6
 
 _DELTA = "struct<node:string,delta:double,confidence:double>"
 _EDGE = "struct<src:string,dst:string,edge_type:string,delta_weight:double,confidence:double>"
@@ -66,7 +66,7 @@ _ACCEPTED = """d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FRO
 )
 def event_frames(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ticker"))
-    return ef.event_frames(e, _sessions(spark, sf_dir), _events(spark, sf_dir)).select("ticker", "date", *r6(*ef.NAMES))
+    return ef.event_frames(e, _sessions(spark, sf_dir), _events(spark, sf_dir), digits=None).select("ticker", "date", *half6(*ef.NAMES))
 
 
 _THEMES = f"""{_ACCEPTED}, l AS (SELECT *, list_concat(

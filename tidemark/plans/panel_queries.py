@@ -47,6 +47,12 @@ def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def half6(*names: str) -> list:
+    """Columns rounded as SQL's engine rounds: the product with 1e6, in floating point, to a whole number. Where many values end in a 5 at the
+    seventh place, the nearest decimal and this product fall on different sides."""
+    return [(F.round(F.col(n) * 1e6, 0) / 1e6).alias(n) for n in names]
+
+
 def s6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
