@@ -10,17 +10,33 @@ from pyspark.sql import functions as F
 from .frames import prior_rows
 
 
-def with_decay(df: DataFrame, keys: list[str], t: str, columns: dict[str, str], half_life: float) -> DataFrame:
+def with_decay(df: DataFrame, keys: list[str], t: str, columns: dict[str, str], half_life: float, lanes: bool = False) -> DataFrame:
     """df with d_t = x_t + a d_(t-1) under the name given for each x; t counts a key's rows without gaps.
 
     The recursion in closed form, the sum of x_s / a**s up to t, times a**t, over stretches of 500 half-lives, so that no power overflows;
-    a stretch takes over the end of the one before. What lies two stretches back has lost 500 half-lives and is below a double's precision."""
+    a stretch takes over the end of the one before. What lies two stretches back has lost 500 half-lives and is below a double's precision.
+
+    lanes: for a half-life of few whole rows, one sum for each place within it, so that x is scaled by powers of two alone: a value is x itself in its
+    row, exactly half of it a half-life later, and rounds as x * 0.5**(age / half_life) does."""
     size = max(1, int(500 * half_life))
     place = F.col(t) % size
     grown = F.pow(F.lit(2.0), place / half_life)
     inside = Window.partitionBy(*keys, "_stretch").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
-    own = df.withColumn("_stretch", F.floor(F.col(t) / size)).withColumns({f"_{y}": F.sum(F.coalesce(x, F.lit(0.0)) * grown).over(inside) / grown for x, y in columns.items()})
+
+    def within(x: str) -> Column:
+        if not lanes:
+            return F.sum(F.coalesce(x, F.lit(0.0)) * grown).over(inside) / grown
+        h = int(half_life)
+        out = F.lit(0.0)
+        for lane in range(h):
+            age = place - lane
+            held = F.sum(F.when(F.pmod(age, F.lit(h)) == 0, F.coalesce(x, F.lit(0.0)) * F.pow(F.lit(2.0), age / h)).otherwise(0.0)).over(inside)
+            lost = F.element_at(F.array(*[F.lit(0.5 ** (r / h)) for r in range(h)]), (F.pmod(age, F.lit(h)) + 1).cast("int"))
+            out = out + held / F.pow(F.lit(2.0), F.floor(age / h)) * lost
+        return out
+
+    own = df.withColumn("_stretch", F.floor(F.col(t) / size)).withColumns({f"_{y}": within(x) for x, y in columns.items()})
     carried = {y: F.col(f"_{y}") + F.coalesce(F.last(F.when(place == size - 1, F.col(f"_{y}")), ignorenulls=True).over(before), F.lit(0.0)) / F.pow(F.lit(2.0), (place + 1) / half_life) for y in columns.values()}
     return own.withColumns(carried).drop("_stretch", *[f"_{y}" for y in columns.values()])
 

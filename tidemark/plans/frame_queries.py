@@ -93,7 +93,7 @@ _EXPOSURE = f"""{_THEMES}, m AS (SELECT seq, w.ticker, w.t, strength, theme FROM
 
 @register("theme_exposure", f"WITH {_EXPOSURE} SELECT ticker, date, theme, round(exposure, 6) AS exposure FROM exposure")
 def theme_exposure(spark, sf_dir):
-    return ef.theme_exposure(_sessions(spark, sf_dir), _events(spark, sf_dir), most=24).select("ticker", "date", "theme", *r6("exposure"))
+    return ef.theme_exposure(_sessions(spark, sf_dir), _events(spark, sf_dir), most=24).select("ticker", "date", "theme", *half6("exposure"))
 
 
 @register(
