@@ -3,12 +3,17 @@
 An alias is found in one of three ways, by its kind: a short one of Latin letters and digits must stand by itself; a Hangul name of two to eight
 syllables may carry a particle; any other is looked for among the letters and digits alone, whatever stands between them. In each case the
 compact text (letters and digits only) holds the compact alias, so that both share every run of it. Texts are joined to aliases by the
-one run that fewest texts hold, and what meets is checked in full: no text meets all aliases."""
+one run that fewest texts hold, and what meets is checked in full, all candidates of a text in one go: no text meets all aliases."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from ..functions.text import clean_html
 from ..sources.shared import written
@@ -17,6 +22,7 @@ IDENTITY = ("legal_name", "orthographic_variant", "abbreviation", "former_name")
 # particles that may follow a Hangul name: fixed values
 PARTICLES = "에게서|으로부터|에서는|에게는|으로는|에서|에게|으로|까지|부터|처럼|보다|에만|에는|이라는|라는|이라|라고|이며|이고|은|는|이|가|을|를|의|과|와|도|만|에|로|측|발"
 RUN = 3
+WORD = re.compile("[0-9a-z]+")
 
 
 def lowered(x: Column) -> Column:
@@ -52,14 +58,51 @@ def contains(text: Column, compact_text: Column, alias: Column) -> Column:
     return F.when(compact(alias) == "", False).when(p.isNotNull(), F.regexp_like(text, F.coalesce(p, F.lit("")))).otherwise(F.contains(compact_text, compact(alias)))
 
 
-def runs(x: Column, most: int) -> Column:
-    """Distinct runs of one to ``most`` characters, in time that grows with the text."""
-    letters = F.split(x, "")
-    lists, now = [letters], letters
-    for n in range(2, most + 1):
-        now = F.zip_with(now, F.slice(letters, F.lit(n), F.greatest(F.size(letters), F.lit(1))), lambda a, b: F.concat(a, b))
-        lists.append(now)
-    return F.array_distinct(F.array_compact(F.concat(*lists)))
+def form(raw: Column) -> Column:
+    """How a lowered alias is looked for, as one text: w: and a word that must stand by itself, ~ and a regular expression, or c: and letters within the compact text."""
+    p = pattern(raw)
+    return F.when(p.isNotNull() & raw.rlike("^[0-9a-z]+$"), F.concat(F.lit("w:"), raw)).when(p.isNotNull(), F.concat(F.lit("~"), p)).otherwise(F.concat(F.lit("c:"), compact(raw)))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _held_forms(text: pd.Series, compact_text: pd.Series, forms: pd.Series) -> pd.Series:
+    """Those of the forms that a lowered text, given with its compact form, holds."""
+    compiled: dict[str, re.Pattern] = {}
+    out = []
+    for t, c, fs in zip(text, compact_text, forms, strict=True):
+        words = set(WORD.findall(t))  # a run of Latin letters and digits that neither of them adjoins
+        hits = []
+        for f in fs:
+            if f[0] == "w":
+                ok = f[2:] in words
+            elif f[0] == "c":
+                ok = f[2:] in c
+            else:
+                ok = (compiled.get(f) or compiled.setdefault(f, re.compile(f[1:], re.ASCII))).search(t) is not None
+            if ok:
+                hits.append(f)
+        out.append(hits)
+    return pd.Series(out, dtype=object)
+
+
+def _codes(x: str, all_lengths: bool) -> np.ndarray:
+    """Distinct runs of RUN characters as numbers of 63 bits; with all_lengths those of fewer as well, else a shorter text is its own run."""
+    c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    two = c[:-1] | c[1:] << 21 if len(c) > 1 else c[:0]
+    three = two[:-1] | c[2:] << 42 if len(c) > 2 else c[:0]
+    if all_lengths:
+        return np.concatenate([np.unique(x) for x in (c, two, three)])
+    return np.unique(three if len(three) else two if len(two) else c)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _text_runs(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: _codes(s, True))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _alias_runs(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: _codes(s, False))
 
 
 def alias_rows(aliases: DataFrame) -> DataFrame:
@@ -69,17 +112,10 @@ def alias_rows(aliases: DataFrame) -> DataFrame:
     return a.withColumn("relationship", F.when(F.col("alias_type").isin(*IDENTITY), "identity").otherwise("related_entity"))
 
 
-def own_runs(aliases: DataFrame) -> DataFrame:
-    """aliases with one row for each ``run`` of three characters of the compact form; a shorter form is its own run."""
-    n = F.least(F.length("compact"), F.lit(RUN))
-    return aliases.withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("compact") - n + 1), lambda i: F.substring(F.col("compact"), i, n)))))
-
-
-def rarest(own: DataFrame, held: DataFrame) -> DataFrame:
-    """Of each alias the run that fewest texts hold. held: rows (_key, run) of texts."""
-    f = held.groupBy("run").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("_alias").orderBy(F.coalesce("_n", F.lit(0)), "run")
-    return own.join(f, "run", "left").withColumn("_i", F.row_number().over(w)).where("_i = 1").select("_alias", "run")
+def rarest(own: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Of each form the run that fewest texts hold. own: rows (form, run); frequency: rows (run, _n)."""
+    w = Window.partitionBy("form").orderBy(F.coalesce("_n", F.lit(0)), "run")
+    return own.join(frequency, "run", "left").withColumn("_i", F.row_number().over(w)).where("_i = 1").select("form", "run")
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, key: str, text: str, day: str) -> DataFrame:
@@ -87,15 +123,17 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, key: str, text: str, day
 
     The best is an identity before a related entity, then of greatest confidence, then the longest compact form, then the last by name.
     aliases: rows of (ticker, alias, alias_type, confidence, valid_from, valid_to); key names a text."""
-    a = alias_rows(aliases).withColumn("_alias", F.xxhash64("ticker", "alias", "alias_type", "valid_from", "valid_to", "confidence"))
+    a = written(alias_rows(aliases).withColumn("form", form(F.col("raw"))), "alias_rows")
     t = texts.select(F.col(key).alias("_key"), F.col(day).cast("date").alias("_day"), lowered(F.col(text)).alias("_text"))
     t = written(t.withColumn("_compact", compact(F.col("_text"))), "texts")
-    own = written(own_runs(a), "alias_runs")
-    each = t.select("_key", F.explode(runs(F.col("_compact"), RUN)).alias("run"))
-    held = written(each.join(own.select("run").distinct(), "run", "left_semi"), "text_runs")  # no runs but those of aliases
-    pairs = held.join(rarest(own, held), "run").select("_key", "_alias").distinct()
-    j = pairs.join(t, "_key").join(a, "_alias")
-    hit = j.where(active(F.col("_day"), F.col("valid_from"), F.col("valid_to")) & contains(F.col("_text"), F.col("_compact"), F.col("raw")))
+    # what decides is the form: aliases of one form are looked for once
+    own = written(a.select("form", "compact").dropDuplicates(["form"]).select("form", F.explode(_alias_runs("compact")).alias("run")), "alias_runs")
+    each = t.select("_key", F.explode(_text_runs("_compact")).alias("run"))
+    frequency = each.join(own.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("_n"))
+    first = written(rarest(own, written(frequency, "run_counts")), "rarest")
+    may = each.join(first, "run").groupBy("_key").agg(F.collect_set("form").alias("_forms"))
+    held = t.join(may, "_key").select("_key", "_day", F.explode(_held_forms("_text", "_compact", "_forms")).alias("form"))
+    hit = held.join(a, "form").where(active(F.col("_day"), F.col("valid_from"), F.col("valid_to")))
     order = F.struct((F.col("relationship") == "identity").cast("int").alias("r"), F.coalesce("confidence", F.lit(0.0)).alias("c"), F.length("compact").alias("n"), F.col("alias").alias("a"))
     best = hit.groupBy("_key", "ticker").agg(F.max_by(F.struct("alias", "relationship", "confidence"), order).alias("b"))
     return best.select(F.col("_key").alias(key), "ticker", "b.*")
