@@ -1,7 +1,8 @@
 """Products of all rows of one matrix with all rows of another, in blocks.
 
-A matrix is a table (node, v): one vector of bounded length a node. Nodes are dealt to blocks of about 512 by hash, every pair of blocks is one
-task-sized product in numpy, and of each source only its strongest edges leave the pair. No key holds all nodes."""
+A matrix is a table (node, v): one vector of bounded length a node. Nodes are dealt by hash to blocks of at most about BLOCK_BYTES, every pair of blocks
+is multiplied in numpy, tile by tile, and of each source only its strongest edges leave the pair. No key holds all nodes. A block travels once for
+each block of the other side: eight times, however many nodes there are, until eight blocks no longer hold them."""
 
 from __future__ import annotations
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-BLOCK = 512
+BLOCK = 512  # nodes that are not worth a block of their own
+BLOCKS = 8
+BLOCK_BYTES = 16 << 20
 QUANTUM = 1e-4
 PICK = {"signed": lambda w: np.abs(w), "abs": lambda w: np.abs(w), "positive": lambda w: w, "negative": lambda w: -w}
 
@@ -60,6 +63,12 @@ def packed(rows: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInPandas(_pack, f"block int, nodes array<{kind}>, width int, m binary")
 
 
+def _blocks(rows: DataFrame) -> int:
+    """At least BLOCKS blocks where nodes suffice, so that all tasks have pairs; more only where a block would pass BLOCK_BYTES."""
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    return max(1, min(BLOCKS, -(-n // BLOCK)), -(-n * (width or 0) * 8 // BLOCK_BYTES))
+
+
 def strongest_products(left: DataFrame, right: DataFrame, top: int, least: float, mode: str = "signed", scale: float = 1.0, limit: float | None = None, quantum: float | None = QUANTUM) -> DataFrame:
     """(src, dst, weight): of each left node the ``top`` strongest inner products with right nodes of another name, of size ``least`` at least; ties: larger dst.
 
@@ -68,10 +77,12 @@ def strongest_products(left: DataFrame, right: DataFrame, top: int, least: float
     left = written(left.select("node", "v"), "left")
     same = right is None
     right = left if same else written(right.select("node", "v"), "right")
-    blocks = {id(x): max(1, -(-x.count() // BLOCK)) for x in (left, right)}
-    n = blocks[id(right)]
-    a = packed(left, blocks[id(left)]).select(F.col("nodes").alias("srcs"), F.col("width").alias("aw"), F.col("m").alias("am")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    m = _blocks(left)
+    n = m if same else _blocks(right)
     kind = left.schema["node"].dataType.simpleString()
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = packed(left, m).select(F.col("block").alias("l"), F.col("nodes").alias("srcs"), F.col("width").alias("aw"), F.col("m").alias("am")).withColumn("r", every(n))
+    b = packed(right, n).select(F.col("block").alias("r"), "nodes", "width", "m").withColumn("l", every(m))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -80,9 +91,10 @@ def strongest_products(left: DataFrame, right: DataFrame, top: int, least: float
 
     spark, key = left.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, "16")  # a row is a pair of blocks
+    spark.conf.set(key, "1")  # a row is a pair of blocks
     try:
-        found = written(a.join(packed(right, n), "block").mapInPandas(run, f"src {kind}, dst {kind}, weight double"), "edges")
+        pairs = a.repartition(m * n, "l", "r").join(b.repartition(m * n, "l", "r"), ["l", "r"])
+        found = written(pairs.mapInPandas(run, f"src {kind}, dst {kind}, weight double"), "edges")
     finally:
         spark.conf.set(key, before)
     size = {"positive": F.col("weight"), "negative": -F.col("weight")}.get(mode, F.abs("weight"))
@@ -90,23 +102,48 @@ def strongest_products(left: DataFrame, right: DataFrame, top: int, least: float
     return found.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= top).select("src", "dst", (F.col("weight") * scale).alias("weight"))
 
 
-def _edges(r, top: int, least: float, mode: str, limit: float | None, quantum: float | None) -> pd.DataFrame:
-    srcs, dsts = np.array(list(r.srcs), dtype=object), np.array(list(r.nodes), dtype=object)
-    a, b = np.frombuffer(r.am).reshape(len(srcs), r.aw), np.frombuffer(r.m).reshape(len(dsts), r.width)
+def _edges(r, top: int, least: float, mode: str, limit: float | None, quantum: float | None, tile: int = 512, widest: int = 4096) -> pd.DataFrame:
+    """The strongest edges of the sources of one pair of blocks. Destinations come in descending order, in tiles of growing width, so that of equals the
+    first stays, and only products above the least one that a source holds are looked at."""
+    srcs, dsts = np.array(list(r.srcs), dtype=object), np.array(list(r.nodes), dtype=object)[::-1]
+    a, b = np.frombuffer(r.am).reshape(len(srcs), r.aw), np.frombuffer(r.m).reshape(len(dsts), r.width)[::-1]
     d = min(r.aw, r.width)
-    w = a[:, :d] @ b[:, :d].T
-    if limit is not None:
-        w = np.clip(w, -limit, limit)
-    if quantum:
-        w = np.rint(w / quantum) * quantum
-    size = PICK[mode](w)
-    # nodes of a block ascend, so that its place breaks ties towards the larger name
-    order = np.lexsort((np.broadcast_to(np.arange(len(dsts)), size.shape), size), axis=-1)[:, ::-1]
-    out = []
-    for i, row in enumerate(order):
-        ok = [j for j in row[: top + 1] if size[i, j] >= least and size[i, j] > 0 and dsts[j] != srcs[i]][:top]
-        out += [(srcs[i], dsts[j], abs(w[i, j]) if mode == "abs" else w[i, j]) for j in ok]
-    return pd.DataFrame(out, columns=["src", "dst", "weight"])
+    a, b = np.ascontiguousarray(a[:, :d]), np.ascontiguousarray(b[:, :d])
+    place = {x: i for i, x in enumerate(dsts)}
+    itself = np.array([place.get(x, -1) for x in srcs], dtype=np.int64)
+    kept = []
+    for s in range(0, len(srcs), tile):
+        p = a[s : s + tile]
+        # a product rounds up by half a quantum at most
+        bar = np.full(len(p), least - (quantum or 0.0) if top else np.inf)
+        full = np.zeros(len(p), dtype=bool)
+        hi, hj, hw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at, width = 0, 64
+        while at < len(dsts):
+            w = p @ b[at : at + width].T
+            size = PICK[mode](w)
+            i, j = np.nonzero(np.where(full[:, None], size > bar[:, None], size >= bar[:, None]) if not full.all() else size > bar[:, None])
+            if len(i):
+                v = w[i, j]
+                if limit is not None:
+                    v = np.clip(v, -limit, limit)
+                if quantum:
+                    v = np.rint(v / quantum) * quantum
+                j = j + at
+                got = PICK[mode](v)
+                ok = (got >= least) & (got > 0) & (itself[s + i] != j)
+                hi, hj, hw = np.append(hi, i[ok]), np.append(hj, j[ok]), np.append(hw, v[ok])
+                o = np.lexsort((hj, -PICK[mode](hw), hi))
+                hi, hj, hw = hi[o], hj[o], hw[o]
+                rank = np.arange(len(hi)) - np.searchsorted(hi, hi, "left")
+                last = rank == top - 1
+                bar[hi[last]] = PICK[mode](hw[last])
+                full[hi[last]] = True
+                hi, hj, hw = hi[rank < top], hj[rank < top], hw[rank < top]
+            at += width
+            width = min(widest, at)
+        kept.append(pd.DataFrame({"src": srcs[s + hi], "dst": dsts[hj], "weight": np.abs(hw) if mode == "abs" else hw}))
+    return pd.concat(kept)
 
 
 def partial_rows(rows: DataFrame, ridge: float = 1e-6) -> DataFrame:
