@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chaining, common, elias_fano, fingerprints, mixing, near_vectors, ngram_join, ngram_lm, packing, pii, suffix_array, toxicity
+from tidemark.llm import chaining, common, elias_fano, fingerprints, mixing, near_vectors, ngram_join, ngram_lm, packing, pii, seeds, suffix_array, toxicity
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -499,3 +499,33 @@ def test_op10_large_groups_lose_no_document(spark):
     assert {r["a_doc"] for r in got} | {r["b_doc"] for r in got} == set(range(150))
     assert (7, 90) in {(r["a_doc"], r["b_doc"]) for r in got}
     assert len(got) < 150 * 149 / 2
+
+
+def test_op10_links_every_pair_of_a_large_group(spark):
+    rng = random.Random(17)
+    words = [f"v{i}" for i in range(20000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = fresh(80)
+    texts = [fresh(20) + [rng.choice(words) if rng.random() < 0.05 else w for w in passage] for _ in range(70)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, " ".join(texts[3])), (200, " ".join(fresh(90))), (300, "a b"), (301, "a b")]
+    got = {r["doc_id"]: r for r in chaining.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {*range(70), 100}
+    assert all(r["class_id"] == 0 and r["n_links"] == 70 for r in got.values())
+    assert (got[100]["start"], got[100]["end"], got[3]["end"]) == (0, 100, 100)
+
+
+def test_op10_matches_by_blocks_are_all_pairs(spark):
+    rng = random.Random(19)
+    rows = [(rng.randint(0, 3), d, 9 * i + rng.randint(0, 8), i) for d in range(50) for i in range(3)]
+    again, out = {}, []
+    for key, d, place, i in rows:
+        again[key, d] = again.get((key, d), -1) + 1
+        out.append([key, d, place, i, again[key, d]])
+    out = [(*r, again[r[0], r[1]] + 1) for r in out]
+    got = seeds.matches(spark.createDataFrame(out, "key long, doc long, place int, i int, again int, times int"), whole=True, block=7)[0].collect()
+    want = []
+    for x in out:
+        for y in out:
+            if x[0] == y[0] and x[1] < y[1] and (x[5] == 1 or y[5] == 1 or x[4] == y[4]):
+                want.append((x[1], y[1], x[2] << 32 | y[2]))
+    assert sorted((r["a"], r["b"], r["at"]) for r in got) == sorted(want)
