@@ -529,3 +529,13 @@ def test_op10_matches_by_blocks_are_all_pairs(spark):
             if x[0] == y[0] and x[1] < y[1] and (x[5] == 1 or y[5] == 1 or x[4] == y[4]):
                 want.append((x[1], y[1], x[2] << 32 | y[2]))
     assert sorted((r["a"], r["b"], r["at"]) for r in got) == sorted(want)
+
+
+def test_op4_splits_are_made_once(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"q{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() < 0.9 else f"z{rng.random()}" for w in base)) for i in range(120)]
+    made, keep = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (made.append(df._jdf.queryExecution().optimizedPlan().toString().count("explode(array_distinct")), keep(df, name))[1])
+    assert ngram_join.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), bucket_limit=8).count() == 120
+    assert 1 <= sum(made) <= 4 and max(made) == 1

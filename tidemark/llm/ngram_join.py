@@ -312,7 +312,8 @@ def similar_texts(
             F.when(F.pmod(F.xxhash64("bucket", F.lit(-1)), F.lit(1 << 20)) < more * (1 << 20), F.array(child(n))).otherwise(F.array().cast("array<long>")),
         )
         apart_ = marked.where(F.col("like") < dense).join(reps.agg(F.first("sig").alias("sig")), "node")
-        split = apart_.select("node", "bits", F.explode(F.array_distinct(kids)).alias("bucket"))
+        # counting reads the children twice
+        split = written(apart_.select("node", "bits", F.explode(F.array_distinct(kids)).alias("bucket")), "split")
         split = written(counted(split), "buckets")
         leaves.append(split.where(F.col("n") <= bucket_limit).select("node", "bucket"))
         open_ = split.where(F.col("n") > bucket_limit)
