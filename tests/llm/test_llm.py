@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chaining, common, elias_fano, fingerprints, mixing, near_vectors, ngram_join, ngram_lm, packing, pii, seeds, suffix_array, toxicity
+from tidemark.llm import chaining, common, elias_fano, fingerprints, links, mixing, near_vectors, ngram_join, ngram_lm, packing, pii, seeds, suffix_array, toxicity
 
 WORDS = [f"w{i}x" for i in range(400)]
 
@@ -531,6 +531,34 @@ def test_op10_matches_by_blocks_are_all_pairs(spark):
     assert sorted((r["a"], r["b"], r["at"]) for r in got) == sorted(want)
 
 
+def test_op10_sends_no_matches_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(29)
+    words = [f"v{i}" for i in range(20000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    line, passage = fresh(10), fresh(60)
+    texts = [fresh(30) + line + fresh(30) for _ in range(200)] + [fresh(20) + passage + fresh(20) for _ in range(60)] + [fresh(5) + ["ha"] * 40 + fresh(40) for _ in range(20)]
+    texts += [passage[:28] + fresh(12) + passage[30:58], fresh(60)]  # a chain of two runs
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    made = {}
+    keep = links.written_at
+    monkeypatch.setattr(chaining, "written_at", lambda df, name, *a: made.setdefault(name, keep(df, name, *a)))
+    got = {r["doc_id"]: r for r in chaining.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {*range(200, 260), 280}
+    assert all(r["n_links"] == 60 and r["class_id"] == 200 for r in got.values())
+    assert "met" not in made and "chains" not in made and {"pairs", "found"} <= set(made)
+
+
+def test_op10_small_blocks_give_the_same_links(spark):
+    rng = random.Random(31)
+    words = [f"v{i}" for i in range(20000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts = [(passage[:20] * (i % 3)) + [rng.choice(words) if rng.random() < 0.05 else w for w in passage] for i in range(30)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sizes = spark.createDataFrame([], "doc long, size long")
+    whole, parts = ([sorted(map(tuple, links.counted(links.links_of(d, sizes, 5, 4, 50, 0.6, b)[0].where("other is null")).collect())) for b in (2048, 4)])
+    assert whole == parts and len(whole) == 30
+
+
 def test_op4_splits_are_made_once(spark, monkeypatch):
     rng = random.Random(23)
     base = [f"q{i}" for i in range(60)]
