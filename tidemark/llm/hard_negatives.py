@@ -1,10 +1,14 @@
-"""Hard negatives by a full sort of each anchor's scores.
+"""Hard negatives by sorting each anchor's scores.
 
-Components become integers, so that scores are exact and ties are real ones. Rows are dealt to blocks of about 4,096,
-anchors to blocks of about 1,024, and every pair of blocks is one matrix product; a row of scores is sorted by
-score and id. The first pass reads each anchor's first rows of its label in every block and merges them to its positives. The
-second sorts again, finds each positive's upper limit by binary search and reads the next rows of other labels down to the
-lower limit; the first of all blocks are the anchor's hard negatives for that positive.
+Components become integers, so that scores are exact and ties are real ones. Rows are packed in blocks of about 8,192, anchors
+in groups of about 1,024. A task holds some of the groups and reads some of the blocks, one after the other; a block and 128 anchors are one
+matrix product. The first pass multiplies rows of the anchor's label and keeps each anchor's first ones, the positives; the second
+keeps, for each positive, the first rows of other labels between its limits. What a score must be at least (the limit, or the last one
+held when enough are held) is known before the scores are sorted, so that only those are sorted by score and id that may be among
+the first. A task gives its first rows once, when it has read all its blocks, and the first of all tasks are the result.
+
+What is sent is the blocks once for each part of the anchors (65,536 at most) and the anchors once for each part of the blocks, in at most 128 tasks. The
+products are a square of the rows, a fiftieth of them anchors.
 
 Rules for odd input: rows without id, label or vector, or with a null or non-finite component, take no part; an
 empty vector scores 0 with all; of vectors of different lengths the common components count; components and scores beyond 64
@@ -18,14 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, table, written
+from .common import lean, parts, table, written
 
-BLOCK, ANCHORS = 4096, 1024
+BLOCK, ANCHORS, TILE = 8192, 1024, 128
+PART, TASKS, WORK = 1 << 16, 128, 1 << 22  # anchors of a task at most, tasks at most, scores of a task at least
 LONG = (1 << 63) - 1
-PACK = "block int, ids binary, labels binary, width int, parts binary"
+PACK = {"block": "int", "ids": "binary", "labels": "binary", "width": "int", "size": "int", "parts": "binary", "wanted": "binary", "n_wanted": "binary"}
+SCHEMA = ", ".join(f"{c} {t}" for c, t in PACK.items())
 
 
 def integer_rows(vectors: DataFrame, vec: Column, scale: int) -> DataFrame:
@@ -37,90 +45,209 @@ def integer_rows(vectors: DataFrame, vec: Column, scale: int) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("row").alias("row")).select("vec_id", "row.*")
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("vec_id")
-    width = max((len(p) for p in pdf["parts"]), default=0)
-    parts = np.zeros((len(pdf), width), dtype=np.int64)
-    for i, p in enumerate(pdf["parts"]):
-        parts[i, : len(p)] = p
-    row = {"block": pdf["block"].iloc[0], "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "labels": pdf["label"].to_numpy(np.int64).tobytes(), "width": width, "parts": parts.tobytes()}
-    if "wanted" in pdf:
-        row["wanted"] = np.concatenate([_pairs(w) for w in pdf["wanted"]]).tobytes()
-        row["n_wanted"] = np.array([len(w) for w in pdf["wanted"]], dtype=np.int64).tobytes()
-    return pd.DataFrame([row])
-
-
-def _pairs(wanted) -> np.ndarray:
-    return np.array([(w["vec_id"], w["score"]) for w in wanted], dtype=np.int64).reshape(-1, 2)
-
-
-def packed(rows: DataFrame, blocks: int, schema: str = PACK) -> DataFrame:
+def _lists(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The entries of a column of lists, and the length of each list."""
+    lists = column.combine_chunks()
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """The rows of a block as one, by label and id, components in as few bytes as they take."""
+    ids, labels = rows["vec_id"].to_numpy().astype(np.int64), rows["label"].to_numpy().astype(np.int64)
+    values, n = _lists(rows["parts"])
+    filled = np.zeros((len(ids), int(n.max(initial=0))), dtype=np.int64)
+    filled[np.arange(filled.shape[1]) < n[:, None]] = values.to_numpy(zero_copy_only=False)
+    low, high = filled.min(initial=0), filled.max(initial=0)
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    o = np.lexsort((ids, labels))
+    row = {"block": rows["block"][0].as_py(), "ids": ids[o].tobytes(), "labels": labels[o].tobytes(), "width": filled.shape[1], "size": np.dtype(kind).itemsize, "parts": filled[o].astype(kind).tobytes()}
+    row |= {"wanted": None, "n_wanted": None}
+    if "wanted" in rows.column_names:
+        pairs, n = _lists(rows["wanted"])
+        pairs = np.stack([pc.struct_field(pairs, c).to_numpy(zero_copy_only=False) for c in ("vec_id", "score")], 1).astype(np.int64)
+        by = np.argsort(np.repeat(np.argsort(o), n), kind="stable")
+        row |= {"wanted": pairs[by].tobytes(), "n_wanted": n[o].tobytes()}
+    types = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.table({c: pa.array([row[c]], types[t]) for c, t in PACK.items()})
+
+
+def packed(rows: DataFrame, blocks: int) -> DataFrame:
     """Rows in blocks of like size, one row a block."""
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(_pack, schema)
-
-
-def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of two integer matrices, exact, kept at the limits of a long."""
-    d = min(a.shape[1], b.shape[1])
-    a, b = a[:, :d], b[:, :d]
-    if not d or not a.size or not b.size:
-        return np.zeros((len(a), len(b)), dtype=np.int64)
-    bound = max(int(a.max()), -int(a.min())) * max(int(b.max()), -int(b.min())) * d
-    if bound < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -LONG, LONG).astype(np.int64)
+    return dealt.groupBy("block").applyInArrow(_pack, SCHEMA)
 
 
 class Block:
-    def __init__(self, ids: bytes, labels: bytes, width: int, parts: bytes):
-        self.ids, self.labels = np.frombuffer(ids, dtype=np.int64), np.frombuffer(labels, dtype=np.int64)
-        self.parts = np.frombuffer(parts, dtype=np.int64).reshape(len(self.ids), width)
-
-
-def sorted_scores(anchors: Block, rows: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each anchor: (its index, the order of the rows by score descending and id ascending, their scores in it)."""
-    for at in range(0, len(anchors.ids), 128):
-        s = scores(anchors.parts[at : at + 128], rows.parts)
-        order = np.lexsort((np.broadcast_to(rows.ids, s.shape), -s), axis=-1)
-        ranked = np.take_along_axis(s, order, axis=-1)
-        for i in range(len(s)):
-            yield at + i, order[i], ranked[i]
-
-
-def first_positives(anchors: Block, rows: Block, k: int) -> list[tuple]:
-    """(anchor, row, score) of the first k other rows of each anchor's label."""
-    out = []
-    for i, order, ranked in sorted_scores(anchors, rows):
-        own = np.flatnonzero((rows.labels[order] == anchors.labels[i]) & (rows.ids[order] != anchors.ids[i]))[:k]
-        out += zip([int(anchors.ids[i])] * len(own), rows.ids[order[own]].tolist(), ranked[own].tolist(), strict=True)
-    return out
-
-
-def first_negatives(anchors: Block, rows: Block, wanted: list[np.ndarray], k: int, low: tuple[int, int], high: tuple[int, int]) -> list[tuple]:
-    """(anchor, positive, positive's score, negative, score) of the first k rows of another label between each positive's limits."""
-    out = []
-    for i, order, ranked in sorted_scores(anchors, rows):
-        others = np.flatnonzero(rows.labels[order] != anchors.labels[i])
-        falling = -ranked[others]  # ascending
-        for positive, p in wanted[i].tolist():
-            upper, lower = high[0] * p // high[1], -(-low[0] * p // low[1])
-            a = int(np.searchsorted(falling, -upper, "left"))
-            hit = others[a : a + k]
-            for j in hit[ranked[hit] >= lower].tolist():
-                out.append((int(anchors.ids[i]), positive, p, int(rows.ids[order[j]]), int(ranked[j])))
-    return out
-
-
-def _each_pair(anchors: DataFrame, rows: DataFrame, blocks: int, run, schema: str, name: str) -> DataFrame:
-    """``run`` over every pair of an anchor block and a row block; written."""
-    named = anchors.select(*[F.col(c).alias("a_" + c) for c in anchors.columns]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    """Rows of one or several packs."""
+
+    def __init__(self, packs: list):
+        width = max(p.width for p in packs)
+        read = lambda c: np.concatenate([np.frombuffer(getattr(p, c), np.int64) for p in packs])
+        self.ids, self.labels = read("ids"), read("labels")
+        raw = [np.frombuffer(p.parts, f"i{p.size}").reshape(len(p.ids) // 8, p.width) for p in packs]
+        self.parts = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in raw])
+        if packs[0].wanted is not None:
+            pairs, n = read("wanted").reshape(-1, 2), read("n_wanted")
+            self.wanted = np.zeros((len(n), int(n.max(initial=0)), 2), dtype=np.int64)
+            self.asked = np.arange(self.wanted.shape[1]) < n[:, None]
+            self.wanted[self.asked] = pairs
+        if len(packs) > 1:
+            o = np.lexsort((self.ids, self.labels))
+            self.ids, self.labels, self.parts = self.ids[o], self.labels[o], self.parts[o]
+            if packs[0].wanted is not None:
+                self.wanted, self.asked = self.wanted[o], self.asked[o]
+        self.norms = np.sqrt((self.parts.astype(np.float64) ** 2).sum(axis=1))
+        self._as: dict = {}
+
+    def part(self, kind: type, a: int, b: int, width: int) -> np.ndarray:
+        if kind not in self._as:
+            self._as[kind] = self.parts.astype(kind)
+        return self._as[kind][a:b, :width]
+
+
+def scores(x: Block, a: int, b: int, y: Block, c: int, d: int) -> np.ndarray:
+    """Inner products of rows a .. b-1 of x and c .. d-1 of y, exact, kept at the limits of a long. No sum of some of the products is
+    greater than that of the norms, so that small ones are exact in floating point in whatever order they are added."""
+    bound = float(x.norms[a:b].max()) * float(y.norms[c:d].max()) * 1.000001
+    width = min(x.parts.shape[1], y.parts.shape[1])
+    for kind, limit in ((np.float32, 1 << 24), (np.float64, 1 << 53)):
+        if bound < limit:
+            return x.part(kind, a, b, width) @ y.part(kind, c, d, width).T
+    exact = x.parts[a:b, :width].astype(object) @ y.parts[c:d, :width].astype(object).T
+    return np.clip(exact, -LONG, LONG).astype(np.int64) if width else np.zeros((b - a, d - c), dtype=np.int64)
+
+
+def at_least(s: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the scores that are at least their row's."""
+    bound = {4: 1 << 24, 8: 1 << 53}[s.itemsize] if s.dtype.kind == "f" else LONG
+    at = np.flatnonzero(s >= np.clip(least, -bound, bound).astype(s.dtype)[:, None])
+    row, column = np.divmod(at, s.shape[1])
+    return row, column, s.ravel()[at].astype(np.int64)
+
+
+class Firsts:
+    """For each slot the first k of the rows it was given, by score descending and id ascending."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        """least: the scores below which nothing is taken."""
+        self.k, self.least, self.last_id = k, least.copy(), np.full(len(least), LONG)
+        self.held, self.waiting = (np.zeros(0, dtype=np.int64),) * 3, []
+
+    def may(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether a row is before the last one that is held."""
+        least = self.least[slot]
+        return (score > least) | (score == least) & (ids <= self.last_id[slot])
+
+    def first(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        o = np.lexsort((ids, -score, slot))
+        slot, score, ids = slot[o], score[o], ids[o]
+        keep = np.arange(len(slot)) - np.searchsorted(slot, slot, "left") < self.k
+        return slot[keep], score[keep], ids[keep]
+
+    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if len(slot):
+            self.waiting.append(self.first(slot, score, ids))
+
+    def merge(self, always: bool = False) -> None:
+        if not self.waiting or not always and 2 * sum(len(x[0]) for x in self.waiting) < len(self.held[0]):
+            return
+        self.held = slot, score, ids = self.first(*(np.concatenate(x) for x in zip(self.held, *self.waiting, strict=True)))
+        self.waiting = []
+        last = np.flatnonzero(np.append(slot[1:] != slot[:-1], True))
+        full = last[np.diff(last, prepend=-1) == self.k]
+        self.least[slot[full]], self.last_id[slot[full]] = score[full], ids[full]
+
+
+class Positives:
+    """The first k other rows of each anchor's label."""
+
+    columns = "anchor_id long, vec_id long, score long"
+
+    def __init__(self, anchors: Block, k: int):
+        self.anchors, self.firsts = anchors, Firsts(np.full(len(anchors.ids), -LONG), k)
+
+    def read(self, rows: Block) -> None:
+        x, f = self.anchors, self.firsts
+        for label in np.intersect1d(x.labels, rows.labels).tolist():
+            (low, high), (c, d) = (np.searchsorted(y.labels, [label, label + 1]) if label < LONG else (np.searchsorted(y.labels, label), len(y.labels)) for y in (x, rows))
+            for a in range(low, high, TILE):
+                b = min(a + TILE, high)
+                at, col, score = at_least(scores(x, a, b, rows, c, d), f.least[a:b])
+                slot, ids = a + at, rows.ids[c + col]
+                ok = f.may(slot, score, ids) & (ids != x.ids[slot])
+                f.add(slot[ok], score[ok], ids[ok])
+        f.merge()
+
+    def found(self) -> pd.DataFrame:
+        self.firsts.merge(always=True)
+        slot, score, ids = self.firsts.held
+        return pd.DataFrame({"anchor_id": self.anchors.ids[slot], "vec_id": ids, "score": score})
+
+
+class Negatives:
+    """For each positive the first k rows of another label between its limits."""
+
+    columns = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
+
+    def __init__(self, anchors: Block, k: int, low: tuple[int, int], high: tuple[int, int]):
+        self.anchors, asked = anchors, anchors.asked
+        p = anchors.wanted[..., 1].astype(object)
+        limit = lambda x, none: np.where(asked, np.clip(x, -LONG, LONG).astype(np.int64), none)
+        self.upper, lower = limit(high[0] * p // high[1], -LONG - 1), limit(-(-low[0] * p // low[1]), LONG)
+        self.firsts = Firsts(lower.ravel(), k)
+
+    def read(self, rows: Block) -> None:
+        x, f, n = self.anchors, self.firsts, self.upper.shape[1]
+        for a in range(0, len(x.ids), TILE):
+            b = min(a + TILE, len(x.ids))
+            least = f.least[a * n : b * n].reshape(-1, n).min(axis=1)
+            at, col, score = at_least(scores(x, a, b, rows, 0, len(rows.ids)), least)
+            ids = rows.ids[col]
+            other = (rows.labels[col] != x.labels[a + at]) & (score <= self.upper[a:b].max(axis=1)[at])
+            at, score, ids = at[other], score[other], ids[other]
+            for j in range(n):
+                slot = (a + at) * n + j
+                ok = (score <= self.upper[a + at, j]) & f.may(slot, score, ids)
+                f.add(slot[ok], score[ok], ids[ok])
+        f.merge()
+
+    def found(self) -> pd.DataFrame:
+        self.firsts.merge(always=True)
+        slot, score, ids = self.firsts.held
+        at = np.divmod(slot, max(self.upper.shape[1], 1))
+        return pd.DataFrame({"anchor_id": self.anchors.ids[at[0]], "positive_id": self.anchors.wanted[(*at, 0)], "positive_score": self.anchors.wanted[(*at, 1)], "negative_id": ids, "negative_score": score})
+
+
+def _each_part(anchors: DataFrame, rows: DataFrame, across: int, down: int, start, schema: str, name: str) -> DataFrame:
+    """What ``start`` of a part of the anchor groups has found when it has read a part of the blocks, for every two parts; written."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = anchors.select(F.lit(False).alias("row"), F.pmod("block", F.lit(across)).alias("i"), every(down).alias("j"), *PACK)
+    y = rows.select(F.lit(True).alias("row"), every(across).alias("i"), F.pmod("block", F.lit(down)).alias("j"), *PACK)
+    met = x.union(y).select((F.col("i") * down + F.col("j")).alias("task"), "row", *PACK)
+    met = met.repartitionByRange(across * down, "task").sortWithinPartitions("task", "row")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held, state = None, [], None
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                if r.task != task:
+                    if state:
+                        yield state.found()
+                    task, held, state = r.task, [], None
+                if not r.row:
+                    held.append(r)
+                elif held or state:
+                    state = state or start(Block(held))
+                    held = []
+                    state.read(Block([r]))
+        if state:
+            yield state.found()
+
     spark, key = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, "4")  # a row is a pair of blocks of some megabytes
+    spark.conf.set(key, "4")  # a row is a block of some megabytes
     try:
-        return written(named.join(rows, "block").mapInPandas(lean(run), schema), name)
+        return written(met.mapInPandas(lean(run), schema), name)
     finally:
         spark.conf.set(key, before)
 
@@ -134,29 +261,17 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     chosen = rows.where(is_anchor)
     n, n_anchors = rows.count(), chosen.count()
     blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-n_anchors // ANCHORS))
+    tasks = max(1, min(TASKS, parts(rows), -(-n * n_anchors // WORK)))
+    # a part of the anchors costs the bytes of all rows, one of the rows about an eighth of that: all anchors and what was found for them
+    across = min(groups, max(-(-n_anchors // PART), round((tasks / 8) ** 0.5), 1))
+    down = min(blocks, -(-tasks // across))
     packs = written(packed(rows, blocks), "row_blocks")
-
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                got = first_positives(Block(r.a_ids, r.a_labels, r.a_width, r.a_parts), Block(r.ids, r.labels, r.width, r.parts), positives)
-                yield pd.DataFrame(got, columns=["anchor_id", "vec_id", "score"])
-
-    own = _each_pair(packed(chosen, groups), packs, blocks, near, "anchor_id long, vec_id long, score long", "positives")
+    own = _each_part(packed(chosen, groups), packs, across, down, lambda b: Positives(b, positives), Positives.columns, "positives")
     best = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     top = own.withColumn("i", F.row_number().over(best)).where(F.col("i") <= positives)
     wanted = top.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list(F.struct("vec_id", "score")).alias("wanted"))
-
-    def far(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                cuts = np.cumsum(np.frombuffer(r.a_n_wanted, dtype=np.int64))[:-1]
-                want = np.split(np.frombuffer(r.a_wanted, dtype=np.int64).reshape(-1, 2), cuts)
-                got = first_negatives(Block(r.a_ids, r.a_labels, r.a_width, r.a_parts), Block(r.ids, r.labels, r.width, r.parts), want, negatives, low, high)
-                yield pd.DataFrame(got, columns=["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
-
-    asked = packed(chosen.join(wanted, "vec_id"), groups, PACK + ", wanted binary, n_wanted binary")
-    found = _each_pair(asked, packs, blocks, far, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long", "negatives")
+    asked = packed(chosen.join(wanted, "vec_id"), groups)
+    found = _each_part(asked, packs, across, down, lambda b: Negatives(b, negatives, low, high), Negatives.columns, "negatives")
     w = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
